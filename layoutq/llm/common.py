@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +69,43 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Groups of rows that are sorted by their first columns, streamed: only one group and one batch are held at a time."""
+    held, key = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(b.num_rows, dtype=bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+        for s, e in zip(starts, starts[1:], strict=False):
+            now = tuple(c[s].item() for c in cols)
+            if key is not None and now != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = now
+            held.append(b.slice(s, e - s))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node that the links (i, j) reach."""
+    at = np.arange(n)
+    while len(i):
+        low = np.minimum(at[i], at[j])
+        np.minimum.at(at, i, low)
+        np.minimum.at(at, j, low)
+        at = at[at]
+        if (at[i] == at[j]).all():
+            break
+    return at
+
+
+def binary_rows(column: pa.ChunkedArray, dtype, width: int) -> np.ndarray:
+    """A column of equally long byte strings as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(-1, width)
