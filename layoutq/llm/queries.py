@@ -14,9 +14,10 @@ from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .secret_scan import op9_secret_scan
 from .source_mixing import op7_source_mixing
+from .suffix_dedup import op4_suffix_dedup
 from .token_files import op3_token_files
 
-OPERATORS = (op1_quality_rules, op2_embedding_dedup, op3_token_files, op5_best_fit_packing, op6_private_data, op7_source_mixing, op8_jaccard_join, op9_secret_scan, op10_quality_classifier)
+OPERATORS = (op1_quality_rules, op2_embedding_dedup, op3_token_files, op4_suffix_dedup, op5_best_fit_packing, op6_private_data, op7_source_mixing, op8_jaccard_join, op9_secret_scan, op10_quality_classifier)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
