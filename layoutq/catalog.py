@@ -1,19 +1,355 @@
-"""All queries of the library by name, each with the SQL that gives the same rows."""
+"""All queries of the library by name, each with the SQL that gives the same rows where SQL can express it.
+
+Documents are the order forms of sources.layouts, and grids of the texts of ``benchmark`` and ``conversations``; all tables are read whole.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geometry, kernels
+from .operators import accuracy, entities, predicates, spatial
+from .plans import ir, planner
+from .sources import layouts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+#: The words of order forms, as in sources.layouts.order_form_words; f has their boxes, g what is known of each document.
+FORMS = """
+n AS (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem GROUP BY 1),
+o AS (SELECT o.*, c_name, coalesce(n, 0) + 6 AS last FROM orders o LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN n ON o_orderkey = l_orderkey),
+w AS (
+  SELECT o_orderkey AS doc_id, 0 AS slot, 'OrderNo:' AS text, 0 AS x0, 0 AS y0 FROM o UNION ALL SELECT o_orderkey, 1, CAST(o_orderkey AS VARCHAR), 15, 0 FROM o
+  UNION ALL SELECT o_orderkey, 2, 'Date:', 0, 1 FROM o UNION ALL SELECT o_orderkey, 3, strftime(o_orderdate, '%Y-%m-%d'), 15, 1 FROM o
+  UNION ALL SELECT o_orderkey, 4, 'Customer:', 0, 2 FROM o UNION ALL SELECT o_orderkey, 5, c_name, 15, 2 FROM o WHERE c_name IS NOT NULL
+  UNION ALL SELECT o_orderkey, 6, 'Quantity', 0, 4 FROM o UNION ALL SELECT o_orderkey, 7, 'Price', 15, 4 FROM o UNION ALL SELECT o_orderkey, 8, 'Discount', 30, 4 FROM o
+  UNION ALL SELECT o_orderkey, 9, 'Total:', 0, last FROM o UNION ALL SELECT o_orderkey, 10, printf('%.2f', o_totalprice), 15, last FROM o
+  UNION ALL SELECT l_orderkey, 11 + 3 * l_linenumber, printf('%.2f', l_quantity), 0, 5 + l_linenumber FROM lineitem
+  UNION ALL SELECT l_orderkey, 12 + 3 * l_linenumber, printf('%.2f', l_extendedprice), 15, 5 + l_linenumber FROM lineitem
+  UNION ALL SELECT l_orderkey, 13 + 3 * l_linenumber, printf('%.2f', l_discount), 30, 5 + l_linenumber FROM lineitem),
+f AS (SELECT DISTINCT doc_id, text, CAST(x0 AS DOUBLE) AS x0, CAST(x0 + length(text) AS DOUBLE) AS x1, CAST(y0 AS DOUBLE) AS y0, CAST(y0 + 1 AS DOUBLE) AS y1 FROM w),
+g AS (SELECT doc_id, max(x1) AS dx, max(y1) AS dy FROM f GROUP BY 1)
+"""
+
+
+def taper_sql(error: str, tolerance: float, taper: float) -> str:
+    """K1 in units of lines, which are 1 high on forms."""
+    e = f"greatest(0, ({error}) - {tolerance})"
+    return f"CASE WHEN {e} = 0 THEN 1.0 " + (f"ELSE 1 - least(1, {e} / {taper}) END" if taper else "ELSE 0.0 END")
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def scalar(name: str, table: str, key: str, column: Callable[[], F.Column], sql: str | None) -> None:
+    """A function over a column of a whole table."""
+    query(name, sql and f"SELECT {key}, round(CAST({sql} AS DOUBLE), 6) AS score FROM {table}")(lambda spark, d: layouts.read(spark, d, table).select(*key.split(", "), F.round(column().cast("double"), 6).alias("score")))
+
+
+def as_entity(text: F.Column, type_: str = "Text") -> ir.Entity:
+    """A lone entity around a text, for predicates outside documents."""
+    zero = F.lit(0.0)
+    return ir.Entity(F.struct(F.lit(0).alias("entity_id"), F.lit(type_).alias("type"), text.alias("text"), *[zero.alias(c) for c in ("x0", "x1", "y0", "y1")], F.array().cast("array<bigint>").alias("word_ids"), F.size(F.split(text, " ")).alias("n_words"), F.lit(1).alias("line_count"), F.lit(1.0).alias("maximality"), F.lit(None).cast("double").alias("likeness"), F.lit(None).cast("double").alias("value")))
+
+
+def on(p: ir.Predicate, *columns: str) -> Callable[[], F.Column]:
+    return lambda: p.score(ir.Context(), *[as_entity(F.col(c).cast("string")) for c in columns])
+
+
+def text_sql(column: str, text: str, tolerance: int, taper: int) -> str:
+    e = f"greatest(0, levenshtein(upper({column}), '{text.upper()}') - {tolerance})"
+    return f"CASE WHEN abs(length({column}) - {len(text)}) > {tolerance + taper} THEN 0 WHEN {e} = 0 THEN 1 ELSE 1 - least(1, {e} / {taper + 1}.0) END"
+
+
+def count_sql(c: str, chars: str) -> str:
+    return f"(length({c}) - length(translate({c}, '{chars}', '')))"
+
+
+scalar("text_equals", "nation", "n_nationkey", on(predicates.text_equals("GERMANI", 1, 2), "n_name"), text_sql("n_name", "GERMANI", 1, 2))
+scalar("text_is_one_of", "customer", "c_custkey", on(predicates.text_is_one_of(["BUILDING", "MACHINERY"]), "c_mktsegment"), f"greatest({text_sql('c_mktsegment', 'BUILDING', 1, 1)}, {text_sql('c_mktsegment', 'MACHINERY', 1, 1)})")
+scalar("text_has_substring", "part", "p_partkey", on(predicates.text_has_substring("BRASS", 0, 4), "p_type"), None)
+scalar("text_does_not_contain_substring", "part", "p_partkey", on(predicates.text_does_not_contain_substring("BRASS"), "p_type"), "CASE WHEN contains(upper(p_type), 'BRASS') THEN 0 ELSE 1 END")
+scalar("text_matches_pattern", "customer", "c_custkey", on(predicates.text_matches_pattern("Customer#999999999", {"9": "0123456789"}, 0, 0), "c_name"), "CASE WHEN regexp_full_match(c_name, 'Customer#[0-9]{9}') THEN 1 ELSE 0 END")
+scalar("text_properties", "part", "p_partkey", on(predicates.text_properties_are(0, 9, at_most=12, min_counts={"AEIOU": 3}), "p_type"), f"CASE WHEN greatest(0, length(p_type) - 12) + greatest(0, 3 - {count_sql('p_type', 'AEIOU')}) = 0 THEN 1 ELSE 1 - least(1, (greatest(0, length(p_type) - 12) + greatest(0, 3 - {count_sql('p_type', 'AEIOU')})) / 10.0) END")
+scalar("word_count_is", "part", "p_partkey", on(predicates.word_count_is({1: 0.0, 2: 0.5, 4: 1.0}), "p_name"), "CASE WHEN len(string_split(p_name, ' ')) <= 1 THEN 0 WHEN len(string_split(p_name, ' ')) = 2 THEN 0.5 WHEN len(string_split(p_name, ' ')) = 3 THEN 0.75 ELSE 1 END")
+scalar("line_count_is", "nation", "n_nationkey", on(predicates.is_one_line, "n_name"), "1")
+scalar("have_unequal_text", "customer", "c_custkey", on(spatial.have_unequal_text(), "c_name", "c_mktsegment"), "CASE WHEN c_name = c_mktsegment THEN 0 ELSE 1 END")
+scalar("strings_are_disjoint", "part", "p_partkey", on(spatial.entity_strings_are_disjoint(), "p_name", "p_type"), "CASE WHEN len(list_intersect(string_split(p_name, ' '), string_split(p_type, ' '))) > 0 THEN 0 ELSE 1 END")
+scalar("relative_edit_distance", "nation", "n_nationkey", lambda: kernels.relative_edit_distance(F.col("n_name"), F.lit("FRANCE")), "levenshtein(n_name, 'FRANCE') / greatest(length(n_name), 6.0)")
+scalar("substring_distance", "nation", "n_nationkey", lambda: kernels.substring_distance(F.col("n_name"), "AN"), None)
+scalar("pattern_distance", "nation", "n_nationkey", lambda: kernels.pattern_distance(F.col("n_name"), "XXXXX", {"X": "AEIOUNRT"}), None)
+scalar("count_score", "part", "p_partkey", lambda: kernels.count_score({1: 0.0, 20: 0.5, 40: 1.0}, F.col("p_size")), "CASE WHEN p_size <= 1 THEN 0 WHEN p_size <= 20 THEN (p_size - 1) * (0.5 / 19) WHEN p_size <= 40 THEN 0.5 + (p_size - 20) * 0.025 ELSE 1 END")
+scalar("dates", "orders", "o_orderkey", lambda: kernels.date_likeness(F.date_format("o_orderdate", "yyyy-MM-dd")), "1.0")
+scalar("dates_of_words", "region", "r_regionkey", lambda: kernels.date_likeness(F.col("r_name")), None)
+scalar("dollars", "lineitem", "l_orderkey, l_linenumber", lambda: kernels.dollar_likeness(F.format_string("%.2f", "l_extendedprice")), "1.0")
+scalar("numeric_parse", "customer", "c_custkey", lambda: kernels.parsed_number(F.format_string("%.2f", "c_acctbal"), period_as_delimiter=True), "CAST(printf('%.2f', c_acctbal) AS DOUBLE)")
+scalar("numeric_parse_cents", "customer", "c_custkey", lambda: kernels.parsed_number(F.format_string("%.2f", "c_acctbal")), "CAST(replace(printf('%.2f', c_acctbal), '.', '') AS DOUBLE)")
+
+
+def numbers(name: str, p: ir.Predicate, table: str, key: str, columns: tuple[str, ...], sql: str) -> None:
+    scalar(name, table, key, lambda: p.score(ir.Context(), *[as_entity(F.format_string("%.2f", c)) for c in columns]), sql)
+
+
+_PERIOD = {"period_as_delimiter": True}
+_ITEM = ("lineitem", "l_orderkey, l_linenumber")
+_P = lambda c: f"CAST(printf('%.2f', {c}) AS DOUBLE)"
+numbers("sum_is_approximately", predicates.sum_is_approximately(30.0, (1.0, 100.0), 5.0, 10.0, **_PERIOD), *_ITEM, ("l_quantity", "l_discount"), f"1 - least(1, greatest(0, abs({_P('l_quantity')} + 100 * {_P('l_discount')} - 30) - 5) / 10)")
+numbers("sum_is_near_zero", predicates.sum_is_near_zero((1.0, -500.0), tolerance=2.0, taper=20.0, **_PERIOD), *_ITEM, ("l_quantity", "l_discount"), f"1 - least(1, greatest(0, abs({_P('l_quantity')} - 500 * {_P('l_discount')}) - 2) / 20)")
+numbers("sum_is_zero", predicates.sum_is_zero((1.0, -1.0), **_PERIOD), *_ITEM, ("l_discount", "l_tax"), f"CASE WHEN {_P('l_discount')} = {_P('l_tax')} THEN 1 ELSE 0 END")
+numbers("sum_is_at_least", predicates.sum_is_at_least(25.0, (1.0,), strict=False, **_PERIOD), *_ITEM, ("l_quantity",), f"CASE WHEN {_P('l_quantity')} >= 25 THEN 1 ELSE 0 END")
+numbers("is_greater_than", predicates.is_greater_than(25.0, **_PERIOD), *_ITEM, ("l_quantity",), f"CASE WHEN {_P('l_quantity')} > 25 THEN 1 ELSE 0 END")
+numbers("is_less_than", predicates.is_less_than(25.0, **_PERIOD), *_ITEM, ("l_quantity",), f"CASE WHEN {_P('l_quantity')} < 25 THEN 1 ELSE 0 END")
+numbers("is_nearly_equal_to", predicates.is_nearly_equal_to(25.0, 3.0, 4.0, **_PERIOD), *_ITEM, ("l_quantity",), f"1 - least(1, greatest(0, abs({_P('l_quantity')} - 25) - 3) / 4)")
+numbers("is_zero", predicates.is_zero(**_PERIOD), *_ITEM, ("l_discount",), f"CASE WHEN {_P('l_discount')} = 0 THEN 1 ELSE 0 END")
+numbers("is_negative", predicates.is_negative(**_PERIOD), "customer", "c_custkey", ("c_acctbal",), f"CASE WHEN {_P('c_acctbal')} < 0 THEN 1 ELSE 0 END")
+numbers("is_nonnegative", predicates.is_nonnegative(**_PERIOD), "customer", "c_custkey", ("c_acctbal",), f"CASE WHEN {_P('c_acctbal')} >= 0 THEN 1 ELSE 0 END")
+numbers("are_equal", predicates.are_equal(**_PERIOD), *_ITEM, ("l_discount", "l_tax"), f"CASE WHEN {_P('l_discount')} = {_P('l_tax')} THEN 1 ELSE 0 END")
+numbers("greater_than", predicates.greater_than(**_PERIOD), *_ITEM, ("l_discount", "l_tax"), f"CASE WHEN {_P('l_discount')} > {_P('l_tax')} THEN 1 ELSE 0 END")
+numbers("less_than_or_equal_to", predicates.less_than_or_equal_to(**_PERIOD), *_ITEM, ("l_discount", "l_tax"), f"CASE WHEN {_P('l_discount')} <= {_P('l_tax')} THEN 1 ELSE 0 END")
+
+_LABEL = predicates.text_equals
+
+
+def exact(field: str, text: str) -> ir.Rule:
+    return predicates.text_equals(text, 0, 0)(field)
+
+
+def all_of(name: str, model: Callable[[], ir.Node], fields: tuple[str, ...], sql: str | None, k: int | None = None) -> None:
+    """Every valid extraction of a model from every order form: texts and places of fields, and the score."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        r = planner.run(layouts.order_form(spark, d), model(), k).where("score > 0")
+        return r.select("doc_id", *[c for f in fields for c in (F.col(f"f__{f}.text").alias(f), F.col(f"f__{f}.x0").alias(f"{f}_x"), F.col(f"f__{f}.y0").alias(f"{f}_y"))], F.round("score", 6).alias("score"))
+
+    query(name, sql)(run)
+
+
+def pair(name: str, label: str, p: Callable[[], ir.Predicate], sql: str | None) -> None:
+    """A label and any other word between which a predicate holds; sql is its score over words a and b."""
+    full = sql and f"WITH {FORMS}, s AS (SELECT a.doc_id, a.text AS a, a.x0 AS a_x, a.y0 AS a_y, b.text AS b, b.x0 AS b_x, b.y0 AS b_y, {sql} AS s FROM f a JOIN f b USING (doc_id) JOIN g USING (doc_id) WHERE upper(a.text) = '{label.upper()}' AND (a.x0, a.y0) <> (b.x0, b.y0)) SELECT doc_id, a, a_x, a_y, b, b_x, b_y, round(CAST(s AS DOUBLE), 6) AS score FROM s WHERE s > 0.1"
+    all_of(name, lambda: ir.extract(exact("a", label), p()("a", "b")), ("a", "b"), full)
+
+
+_MID = {"LEFT_SIDES": "{}.x0", "RIGHT_SIDES": "{}.x1", "TOPS": "{}.y0", "BOTTOMS": "{}.y1", "HORIZONTAL_MIDLINES": "({0}.y0 + {0}.y1) / 2", "VERTICAL_MIDLINES": "({0}.x0 + {0}.x1) / 2"}
+_AT = {k: v.replace("{}", "{0}") for k, v in _MID.items()}
+for _side, _sql in _AT.items():
+    pair(f"aligned_{_side.lower()}", "Price", lambda side=_side: spatial.are_aligned(side, 1.0, 2.0), taper_sql(f"abs({_sql.format('a')} - {_sql.format('b')})", 1, 2))
+for _direction, _gap in (("LEFT_TO_RIGHT", "b.x0 - a.x1"), ("RIGHT_TO_LEFT", "a.x0 - b.x1"), ("TOP_DOWN", "b.y0 - a.y1"), ("BOTTOM_UP", "a.y0 - b.y1")):
+    pair(f"arranged_{_direction.lower()}", "Price", lambda direction=_direction: spatial.are_arranged(direction, 1.0, 1.0, 3.0), taper_sql(f"greatest(0, 1 - ({_gap}), ({_gap}) - 3)", 0, 1))
+pair("arranged_without_maximum", "Total:", lambda: spatial.are_arranged("LEFT_TO_RIGHT"), taper_sql("greatest(0, -(b.x0 - a.x1))", 0, 1))
+pair("one_line_above", "Price", spatial.one_line_above, taper_sql("greatest(0, -(b.y0 - a.y1), (b.y0 - a.y1) - 0.5)", 0, 0.5))
+pair("one_to_two_lines_above", "Price", spatial.one_to_two_lines_above, taper_sql("greatest(0, -(b.y0 - a.y1), (b.y0 - a.y1) - 1.5)", 0, 0.5))
+pair("same_page", "Total:", spatial.are_on_same_page, "1.0")
+pair("are_disjoint", "Total:", spatial.are_disjoint, "1.0")
+pair("all_hold", "Price", lambda: predicates.all_hold(spatial.are_aligned("LEFT_SIDES", 1.0, 2.0), spatial.top_down_pair()), f"({taper_sql('abs(a.x0 - b.x0)', 1, 2)}) * ({taper_sql('greatest(0, -(b.y0 - a.y1))', 0, 0.5)})")
+pair("any_holds", "Price", lambda: predicates.any_holds(spatial.are_aligned("LEFT_SIDES", 1.0, 2.0), spatial.are_aligned("TOPS", 0.5, 0.5)), f"greatest({taper_sql('abs(a.x0 - b.x0)', 1, 2)}, {taper_sql('abs(a.y0 - b.y0)', 0.5, 0.5)})")
+pair("negate", "Price", lambda: predicates.negate(spatial.are_aligned("LEFT_SIDES", 1.0, 2.0)), f"1 - ({taper_sql('abs(a.x0 - b.x0)', 1, 2)})")
+pair("penalize", "Price", lambda: predicates.penalize(spatial.are_aligned("LEFT_SIDES", 1.0, 2.0)), f"least(0.7, {taper_sql('abs(a.x0 - b.x0)', 1, 2)})")
+pair("non_fatal", "Price", lambda: predicates.non_fatal(spatial.are_aligned("LEFT_SIDES", 1.0, 2.0)), f"greatest(0.5, {taper_sql('abs(a.x0 - b.x0)', 1, 2)})")
+_BETWEEN = "CASE WHEN a.y0 = b.y0 AND b.x0 > a.x1 AND EXISTS (SELECT 1 FROM f c WHERE c.doc_id = a.doc_id AND c.y0 = a.y0 AND c.x0 > a.x1 AND c.x1 < b.x0) THEN 0.0 ELSE 1.0 END"
+pair("nothing_between_horizontally", "Quantity", spatial.nothing_between_horizontally, _BETWEEN)
+pair("no_words_between_horizontally", "Quantity", spatial.no_words_between_horizontally, _BETWEEN)
+pair("nothing_between_vertically", "Price", spatial.nothing_between_vertically, None)
+pair("no_words_between_vertically", "Price", spatial.no_words_between_vertically, None)
+pair("tabular_header", "Price", spatial.is_tabular_header, None)
+pair("immediate_header", "Price", spatial.is_immediate_header, None)
+pair("heads_tabular_entry", "Price", spatial.heads_tabular_entry, None)
+pair("label_value_ltr", "Total:", spatial.is_left_to_right_label_value_pair, "CASE WHEN a.y0 = b.y0 AND b.x0 > a.x1 THEN 1.0 ELSE 0.0 END")
+pair("label_value_td", "Price", spatial.is_top_down_label_value_pair, None)
+
+
+def single(name: str, p: Callable[[], ir.Predicate], sql: str | None) -> None:
+    """Every word of every form on which a predicate holds."""
+    full = sql and f"WITH {FORMS}, s AS (SELECT doc_id, a.text AS a, a.x0 AS a_x, a.y0 AS a_y, {sql} AS s FROM f a JOIN g USING (doc_id)) SELECT doc_id, a, a_x, a_y, round(CAST(s AS DOUBLE), 6) AS score FROM s WHERE s > 0.1"
+    all_of(name, lambda: ir.extract(p()("a")), ("a",), full)
+
+
+_IN = "(greatest(0, least({hi}, a.{c}1) - greatest({lo}, a.{c}0)) / (a.{c}1 - a.{c}0))"
+_REGION = _IN.format(lo="0", hi="0.5 * dx", c="x") + " * " + _IN.format(lo="0.5 * dy", hi="dy", c="y")
+single("in_doc_region", lambda: predicates.is_in_doc_region((0.0, 0.5), (0.5, 1.0)), _REGION)
+single("in_page_region", lambda: predicates.is_in_page_region((0.0, 0.5), (0.5, 1.0)), _REGION)
+single("page_number_is", lambda: predicates.page_number_is({0: 0.6, 1: 0.0}), "0.6")
+single("is_entire_phrase", lambda: predicates.is_entire_phrase, "1.0")
+single("nothing_between_left_edge", lambda: spatial.nothing_between_edge("LEFT"), "CASE WHEN EXISTS (SELECT 1 FROM f c WHERE c.doc_id = a.doc_id AND c.y0 = a.y0 AND c.x0 < a.x0) THEN 0.0 ELSE 1.0 END")
+single("nothing_between_right_edge", lambda: spatial.nothing_between_edge("RIGHT"), "CASE WHEN EXISTS (SELECT 1 FROM f c WHERE c.doc_id = a.doc_id AND c.y0 = a.y0 AND c.x0 > a.x0) THEN 0.0 ELSE 1.0 END")
+single("nothing_between_top_edge", lambda: spatial.nothing_between_edge("TOP"), None)
+single("nothing_between_bottom_edge", lambda: spatial.nothing_between_edge("BOTTOM"), None)
+single("empty_line_above", spatial.empty_line_above, None)
+single("oriented_horizontally", spatial.is_oriented_horizontally, "CASE WHEN a.x1 - a.x0 >= 1 THEN 1.0 ELSE 0.0 END")
+
+_TOTAL = "SELECT a.doc_id, a.text AS label, a.x0 AS label_x, a.y0 AS label_y, b.text AS value, b.x0 AS value_x, b.y0 AS value_y, CAST({score} AS DOUBLE) AS score FROM w a0 JOIN f a ON a.doc_id = a0.doc_id AND a.x0 = a0.x0 AND a.y0 = a0.y0 JOIN w b0 ON b0.doc_id = a0.doc_id AND b0.slot = {value} JOIN f b ON b.doc_id = b0.doc_id AND b.x0 = b0.x0 AND b.y0 = b0.y0 WHERE a0.slot = {label}"
+
+
+def total_model() -> ir.Pattern:
+    return ir.extract(exact("label", "Total:"), predicates.is_dollar_amount("value"), spatial.row("label", "value"))
+
+
+def date_model() -> ir.Pattern:
+    return ir.extract(exact("when", "Date:"), predicates.is_date("date"), spatial.row("when", "date"))
+
+
+# a single word's amount is likeness - .01 + .001
+all_of("extract_pair", total_model, ("label", "value"), f"WITH {FORMS} " + _TOTAL.format(score="round((1 + 0.991) / 2, 6)", label=9, value=10), 1)
+all_of("extract_date", date_model, ("when", "date"), (f"WITH {FORMS} " + _TOTAL.format(score="1.0", label=2, value=3)).replace("AS label_", "AS when_").replace("AS label", 'AS "when"').replace("AS value_", "AS date_").replace("AS value", "AS date"), 1)
+
+
+def _headings(*fields: str) -> list[ir.Rule]:
+    return [exact(f, t) for f, t in zip(fields, ("Quantity", "Price", "Discount"), strict=False)]
+
+
+_HEAD = "SELECT doc_id, " + ", ".join(f"'{t}' AS {c}, {x}.0::DOUBLE AS {c}_x, 4.0::DOUBLE AS {c}_y" for c, t, x in (("a", "Quantity", 0), ("b", "Price", 15), ("c", "Discount", 30))) + ", 1.0::DOUBLE AS score FROM g"
+all_of("extract_triple", lambda: ir.extract(*_headings("a", "b", "c"), spatial.row("a", "b", "c")), ("a", "b", "c"), f"WITH {FORMS} {_HEAD}", 1)
+all_of("tabular_row", lambda: ir.extract(*_headings("a", "b", "c"), spatial.tabular_row("a", "b", "c")), ("a", "b", "c"), None, 1)
+all_of("extract_not_found", lambda: ir.extract(exact("label", "Subtotal:"), spatial.row("label", "value")), ("label", "value"), f"WITH {FORMS} " + _TOTAL.format(score="1", label=9, value=10) + " AND 1 = 0", 1)
+_CELL = "f a JOIN f b ON a.doc_id = b.doc_id AND a.text = 'Price' AND b.y0 > a.y0 AND b.x0 = a.x0 JOIN f c ON c.doc_id = b.doc_id AND c.y0 > b.y0 AND c.x0 = a.x0"
+all_of("column", lambda: ir.extract(exact("a", "Price"), spatial.left_aligned_column("a", "b", "c"), predicates.is_dollar_amount("b"), predicates.is_dollar_amount("c"), spatial.one_to_two_lines_above()("a", "b")), ("a", "b", "c"), None)
+all_of("table", lambda: ir.extract(*_headings("a", "b"), predicates.is_dollar_amount("c"), predicates.is_dollar_amount("d"), spatial.table([["a", "b"], ["c", "d"]]), spatial.are_arranged("TOP_DOWN", 1.0, 1.0, 1.0)("a", "c")), ("a", "b", "c", "d"), None, 1)
+all_of("tabular_column", lambda: ir.extract(exact("a", "Price"), spatial.tabular_column("a", "b"), spatial.one_to_two_lines_above()("a", "b")), ("a", "b"), None)
+
+
+def _both(sql: str) -> str:
+    return f"WITH {FORMS} {sql}"
+
+
+def combined(name: str, model: Callable[[], ir.Node], columns: dict[str, int | None], score: str) -> None:
+    """One row per form: the texts of fields, taken from the given slots."""
+    picks = ", ".join(f'max(CASE WHEN slot = {s} THEN text END) AS "{f}"' if s is not None else f'CAST(NULL AS VARCHAR) AS "{f}"' for f, s in columns.items())
+    sql = f"WITH {FORMS} SELECT doc_id, {picks}, round(CAST({score} AS DOUBLE), 6) AS score FROM w GROUP BY doc_id"
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        r = planner.run(layouts.order_form(spark, d), model(), 1)
+        return r.select("doc_id", *[F.col(f"f__{f}.text").alias(f) for f in columns], F.round("score", 6).alias("score"))
+
+    query(name, sql)(run)
+
+
+_ALL = {"label": 9, "value": 10, "when": 2, "date": 3}
+combined("combine_outer", lambda: ir.combine(total_model(), date_model(), ir.extract(exact("none", "Subtotal:"))), _ALL | {"none": None}, "(1 + 0.991 + 1 + 1) / 5")
+combined("combine_all_or_nothing", lambda: ir.combine(total_model(), ir.extract(exact("none", "Subtotal:")), all_or_nothing=True), {"label": None, "value": None, "none": None}, "0")
+combined("combine_overlap", lambda: ir.combine(total_model(), ir.extract(exact("again", "Total:")), allowed_to_overlap=[("label", "again")]), {"label": 9, "value": 10, "again": 9}, "(1 + 0.991 + 1) / 3")
+combined("combine_rule", lambda: ir.combine(date_model(), total_model(), rules=(spatial.top_down_pair()("when", "label"),)), _ALL, "(1 + 0.991 + 1 + 1) / 4")
+combined("pick_best", lambda: ir.pick_best(ir.extract(exact("x", "Total:")), date_model()), {"x": None, "when": 2, "date": 3}, "1")
+combined("private_fields", lambda: ir.combine(ir.extract(exact("_label", "Total:"), predicates.is_dollar_amount("value"), spatial.row("_label", "value")), date_model()), {"value": 10, "when": 2, "date": 3}, "(0.991 + 1 + 1) / 3")
+combined("any_rule", lambda: ir.extract(ir.any_rule_holds(predicates.penalize(predicates.text_equals("Price", 0, 0), 0.5)("a"), predicates.text_equals("Quantity", 0, 0)("a"))), {"a": 6}, "1")
+
+
+@query("top_k", f"WITH {FORMS}, r AS (SELECT doc_id, text, x0, y0, 1 - least(1, levenshtein(upper(text), 'PRICE') / 6.0) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY 1 - least(1, levenshtein(upper(text), 'PRICE') / 6.0) DESC) AS rank FROM f WHERE abs(length(text) - 5) <= 5) SELECT doc_id, rank, round(CAST(s AS DOUBLE), 6) AS score FROM r WHERE rank <= 2 AND s > 0.1")
+def top_k(spark: SparkSession, d: str) -> DataFrame:
+    r = planner.run(layouts.order_form(spark, d), ir.extract(predicates.text_equals("Price", 0, 5)("a")), 2)
+    return r.where("score > 0").select("doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("order_words", f"WITH {FORMS} SELECT * FROM f")
+def order_words(spark: SparkSession, d: str) -> DataFrame:
+    return layouts.order_form_words(spark, d).select("doc_id", "text", "x0", "x1", "y0", "y1")
+
+
+@query("typed_entities", f"WITH {FORMS} SELECT 'Text' AS type, count(*) AS n FROM f UNION ALL SELECT 'Date', count(*) FROM f WHERE regexp_full_match(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') UNION ALL SELECT 'DollarAmount', count(*) FROM f WHERE regexp_full_match(text, '[0-9]+\\.[0-9]{{2}}')")
+def typed_entities(spark: SparkSession, d: str) -> DataFrame:
+    return layouts.order_form(spark, d).entities.where("likeness is null or likeness >= 0.9").groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("median_line_height", f"WITH {FORMS} SELECT doc_id, 1.0::DOUBLE AS ctx_mlh FROM g")
+def median_line_height(spark: SparkSession, d: str) -> DataFrame:
+    return entities.median_line_height(layouts.order_form(spark, d).entities)
+
+
+@query("document_boxes", f"WITH {FORMS} SELECT doc_id, 0.0::DOUBLE AS x0, dx AS x1, 0.0::DOUBLE AS y0, dy AS y1 FROM g")
+def document_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return layouts.order_form_words(spark, d).groupBy("doc_id").agg(*geometry.union_of_boxes())
+
+
+def talks(spark: SparkSession, d: str) -> DataFrame:
+    """A document per conversation, a page per turn."""
+    return layouts.read(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("pages"))
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    return layouts.read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.array("text").alias("pages"))
+
+
+_LINES = "l AS (SELECT item_id AS doc_id, i - 1 AS line, string_split(text, chr(10))[i] AS t FROM (SELECT *, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM benchmark)), t AS (SELECT doc_id, line, p, string_split(t, ' ') AS s FROM (SELECT *, unnest(generate_series(1, len(string_split(t, ' ')))) AS p FROM l)), v AS (SELECT doc_id, line, p, s, s[p] AS text, coalesce(list_sum(list_transform(s[1 : p - 1], lambda x: length(x) + 1)), 0) AS x FROM t WHERE s[p] <> '')"
+
+
+@query("grid_words", f"WITH {_LINES} SELECT doc_id, text, CAST(x AS DOUBLE) AS x0, CAST(x + length(text) AS DOUBLE) AS x1, CAST(line AS DOUBLE) AS y0, CAST(line + 1 AS DOUBLE) AS y1 FROM v")
+def grid_words(spark: SparkSession, d: str) -> DataFrame:
+    return layouts.grid_words(items(spark, d)).select("doc_id", "text", "x0", "x1", "y0", "y1")
+
+
+@query("grid_phrases", f"WITH {_LINES}, n AS (SELECT v.*, k, len(s) AS m FROM v, generate_series(1, 6) AS g(k) WHERE p + k - 1 <= len(s)) SELECT doc_id, CAST(line AS DOUBLE) AS y0, array_to_string(s[p : p + k - 1], ' ') AS text, CAST(CASE WHEN k = 1 THEN 1 ELSE 0.8 END AS DOUBLE) AS ocr_score, CAST(CASE WHEN k < 6 AND (p > 1 OR p + k - 1 < m) THEN 0 ELSE 1 END AS DOUBLE) AS maximality FROM n")
+def grid_phrases(spark: SparkSession, d: str) -> DataFrame:
+    p = entities.grid_phrases(entities.placed(layouts.grid_words(items(spark, d)), layouts.grid_pages(items(spark, d)))[0])
+    return p.select("doc_id", F.get("ws", F.lit(0))["y0"].alias("y0"), F.array_join(F.col("ws.text"), " ").alias("text"), "ocr_score", "maximality")
+
+
+@query("page_offsets", "WITH p AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS page_no, len(string_split(text, chr(10))) AS h FROM conversations) SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, CAST(coalesce(sum(h) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS y0 FROM p")
+def page_offsets(spark: SparkSession, d: str) -> DataFrame:
+    t = talks(spark, d)
+    return entities.placed(layouts.grid_words(t), layouts.grid_pages(t))[1].select("doc_id", "page_no", "y0")
+
+
+_OUTCOMES = f"WITH {FORMS}, t AS (SELECT o_orderkey AS doc_name, 'value' AS field, printf('%.2f', round(o_totalprice)) AS target, printf('%.2f', o_totalprice) AS text FROM orders UNION ALL SELECT o_orderkey, 'date', strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%Y-%m-%d') FROM orders), h AS (SELECT doc_name, field, text, target, CASE WHEN target = text THEN 1 ELSE 0 END AS hit FROM t)"
+
+
+def outcomes(spark: SparkSession, d: str) -> DataFrame:
+    o = layouts.read(spark, d, "orders")
+    r = planner.run(layouts.order_form(spark, d), ir.combine(total_model(), date_model()), 1)
+    found = r.select(F.col("doc_id").alias("doc_name"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"f__{f}.text").alias("text")) for f in ("value", "date")])))
+    targets = o.select(F.col("o_orderkey").alias("doc_name"), F.inline(F.array(F.struct(F.lit("value").alias("field"), F.format_string("%.2f", F.round("o_totalprice")).alias("text")), F.struct(F.lit("date").alias("field"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("text")))))
+    return accuracy.compared(found, targets)
+
+
+@query("match_results", f"{_OUTCOMES} SELECT doc_name, field, text, target, CAST(hit AS INTEGER) AS hit FROM h")
+def match_results(spark: SparkSession, d: str) -> DataFrame:
+    return outcomes(spark, d)
+
+
+@query("fla", f"{_OUTCOMES} SELECT doc_name, avg(hit) AS fla FROM h GROUP BY 1")
+def fla(spark: SparkSession, d: str) -> DataFrame:
+    return accuracy.field_level_accuracy(outcomes(spark, d))
+
+
+@query("average_fla", f"{_OUTCOMES} SELECT count(*) AS docs, round(avg(fla), 9) AS average_fla FROM (SELECT doc_name, avg(hit) AS fla FROM h GROUP BY 1)")
+def average_fla(spark: SparkSession, d: str) -> DataFrame:
+    return accuracy.average_accuracy(fla(spark, d)).withColumn("average_fla", F.round("average_fla", 9))
+
+
+@query("tag_slices", f"{_OUTCOMES}, a AS (SELECT doc_name, avg(hit) AS fla FROM h GROUP BY 1) SELECT CASE WHEN o_orderstatus = 'F' THEN 'finished' ELSE 'open' END AS name, count(*) AS docs, round(avg(fla), 9) AS average_fla FROM a JOIN orders ON o_orderkey = doc_name WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")
+def tag_slices(spark: SparkSession, d: str) -> DataFrame:
+    tags = layouts.read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_name"), F.array("o_orderstatus").alias("doc_tags"))
+    none = F.array().cast("array<string>")
+    slices = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), none.alias("include_doc_tags"), F.array(F.lit(t)).alias("require_doc_tags"), none.alias("exclude_doc_tags")) for n, t in (("finished", "F"), ("open", "O"))])))
+    return accuracy.sliced(fla(spark, d), tags, slices).withColumn("average_fla", F.round("average_fla", 9))
+
+
+@query("explain_scores", f"WITH {FORMS} SELECT doc_id, rule, 1.0::DOUBLE AS score FROM g, (VALUES ('text_equals'), ('is_date'), ('bottom_aligned'), ('left_to_right')) AS r(rule)")
+def explain_scores(spark: SparkSession, d: str) -> DataFrame:
+    lay = layouts.order_form(spark, d)
+    model = date_model()
+    model = model.with_rules(*ir.flattened(model.rules))
+    return planner.explained(lay, planner.run(lay, model, 1), model).select("doc_id", "rule", "score")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """Totals and dates of all order forms."""
+    return QUERIES["combine_outer"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
