@@ -198,7 +198,7 @@ def learned(spans: DataFrame) -> Trees:
     parts = []
     for h in (0, 1):
         own = [r for r in rows if r["half"] == h]
-        parts.append((np.array([r["v"] for r in own], dtype=int).reshape(len(own), -1), np.array([r["n"] for r in own], dtype=float), np.array([r["y"] for r in own], dtype=float)))
+        parts.append((np.array([r["v"] for r in own], dtype=int).reshape(len(own), len(FEATURES)), np.array([r["n"] for r in own], dtype=float), np.array([r["y"] for r in own], dtype=float)))
     return Trees().fit(*parts[0]).calibrate(*parts[1])
 
 
