@@ -44,7 +44,8 @@ def _unescaped(c: Column) -> Column:
 
 def from_hocr(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(words with confidence, pages) of HOCR documents (doc_id, content). Boxes of pages after the first are taken from each page's own corner."""
-    pages = F.slice(F.split("content", r"(?=<div[^>]*class=['\"]ocr_page)"), 2, 1_000_000)
+    start = r"<div[^>]*class=['\"]ocr_page"
+    pages = F.filter(F.split("content", f"(?={start})"), lambda x: x.rlike(f"^{start}"))
     x = docs.select("doc_id", F.posexplode(pages).alias("page_no", "p"))
     box = lambda c, i: F.regexp_extract(c, r"bbox (-?\d+) (-?\d+) (-?\d+) (-?\d+)", i).try_cast("double")
     head = F.regexp_extract("p", r"^<div[^>]*>", 0)
