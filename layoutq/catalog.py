@@ -211,7 +211,7 @@ def _headings(*fields: str) -> list[ir.Rule]:
 
 _HEAD = "SELECT doc_id, " + ", ".join(f"'{t}' AS {c}, {x}.0::DOUBLE AS {c}_x, 4.0::DOUBLE AS {c}_y" for c, t, x in (("a", "Quantity", 0), ("b", "Price", 15), ("c", "Discount", 30))) + ", 1.0::DOUBLE AS score FROM g"
 all_of("extract_triple", lambda: ir.extract(*_headings("a", "b", "c"), spatial.row("a", "b", "c")), ("a", "b", "c"), f"WITH {FORMS} {_HEAD}", 1)
-all_of("tabular_row", lambda: ir.extract(*_headings("a", "b", "c"), spatial.tabular_row("a", "b", "c")), ("a", "b", "c"), None, 1)
+all_of("tabular_row", lambda: ir.extract(*_headings("a", "b"), spatial.tabular_row("a", "b")), ("a", "b"), None, 1)
 all_of("extract_not_found", lambda: ir.extract(exact("label", "Subtotal:"), spatial.row("label", "value")), ("label", "value"), f"WITH {FORMS} " + _TOTAL.format(score="1", label=9, value=10) + " AND 1 = 0", 1)
 _CELL = "f a JOIN f b ON a.doc_id = b.doc_id AND a.text = 'Price' AND b.y0 > a.y0 AND b.x0 = a.x0 JOIN f c ON c.doc_id = b.doc_id AND c.y0 > b.y0 AND c.x0 = a.x0"
 all_of("column", lambda: ir.extract(exact("a", "Price"), spatial.left_aligned_column("a", "b", "c"), predicates.is_dollar_amount("b"), predicates.is_dollar_amount("c"), spatial.one_to_two_lines_above()("a", "b")), ("a", "b", "c"), None)
@@ -253,7 +253,7 @@ def top_k(spark: SparkSession, d: str) -> DataFrame:
 
 @query("order_words", f"WITH {FORMS} SELECT * FROM f")
 def order_words(spark: SparkSession, d: str) -> DataFrame:
-    return layouts.order_form_words(spark, d).select("doc_id", "text", "x0", "x1", "y0", "y1")
+    return layouts.order_form_words(spark, d).select("doc_id", "text", "x0", "x1", "y0", "y1").distinct()
 
 
 @query("typed_entities", f"WITH {FORMS} SELECT 'Text' AS type, count(*) AS n FROM f UNION ALL SELECT 'Date', count(*) FROM f WHERE regexp_full_match(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') UNION ALL SELECT 'DollarAmount', count(*) FROM f WHERE regexp_full_match(text, '[0-9]+\\.[0-9]{{2}}')")
