@@ -67,7 +67,7 @@ def test_masses(best):
 
 
 def test_impingement(best):
-    page = "Pineapple\n     Apple\nPear"
+    page = "Pineapple\n\n    Apple\n\nPear"
     names = {"x": "Pineapple", "y": "Apple", "z": "Pear"}
     for spanning, expected in ((False, names), (True, {})):
         between = s.nothing_between_vertically(spanning, 0.5)
