@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import binary_rows, components, grouped, read, roots, small_batches, stored
 
-THRESHOLD, WORDS, TREES, DEEPEST, TARGET, TILE = 0.8, 5, 20, 8, 0.99995, 256
+THRESHOLD, WORDS, TREES, DEEPEST, TARGET, TILE = 0.8, 5, 20, 8, 0.99995, 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,11 +56,11 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
 
 
 def signature(s: np.ndarray, seeds: np.ndarray, chunk: int = 4096) -> bytes:
-    """The upper halves of the minima of multiply-shift permutations."""
+    """The upper 16 bits of the minima of multiply-shift permutations: two sets agree in one by chance once in 65536."""
     low = np.full(len(seeds), np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(s), chunk):
         np.minimum(low, (_mixed(s[i : i + chunk])[None, :] * seeds[:, None]).min(axis=1), out=low)
-    return (low >> np.uint64(32)).astype("<u4").tobytes()
+    return (_mixed(low) >> np.uint64(48)).astype("<u2").tobytes()
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -87,11 +87,13 @@ def _candidates(sig: np.ndarray, own: np.ndarray, tile: tuple[int, int, int], de
     """Places of the pairs that this tile decides: of its two blocks, first met in its tree, similar enough by signature."""
     tree, a, b = tile
     x, y = (np.flatnonzero(own == k) for k in (a, b))
-    eq = sig[x][:, None, :] == sig[y][None, :, :]
-    ok = eq.sum(axis=2) >= least
-    first = eq.reshape(len(x), len(y), -1, depth).all(axis=3).argmax(axis=2)
-    i, j = np.nonzero(ok & (first == tree))
-    i, j = x[i], y[j]
+    found = []
+    for at in range(0, len(x), 64):
+        eq = sig[x[at : at + 64]][:, None, :] == sig[y][None, :, :]
+        first = eq.reshape(eq.shape[0], len(y), -1, depth).all(axis=3).argmax(axis=2)
+        i, j = np.nonzero((eq.sum(axis=2) >= least) & (first == tree))
+        found.append((x[at : at + 64][i], y[j]))
+    i, j = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (x[:0], y[:0])
     if a == b:
         i, j = i[i < j], j[i < j]
     return i, j
@@ -103,14 +105,14 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, ta
     small_batches(spark)
     depth = depth_for(threshold, trees, target)
     hashes = trees * depth
-    least = math.floor(hashes * threshold - 5.5 * math.sqrt(hashes * threshold * (1 - threshold)))
+    least = math.floor(hashes * threshold - 4.5 * math.sqrt(hashes * threshold * (1 - threshold)))
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     s = stored(signed(docs, hashes), "signatures")
     reps = stored(s.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig")), "classes")
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig = binary_rows(pa.chunked_array([b.column(1)]), "<u4", hashes).reshape(-1, trees, depth).astype(np.uint64)
+            sig = binary_rows(pa.chunked_array([b.column(1)]), "<u2", hashes).reshape(-1, trees, depth).astype(np.uint64)
             h = np.broadcast_to(np.arange(trees, dtype=np.uint64), sig.shape[:2]).copy()
             for d in range(depth):
                 h = _mixed(h * _MIX + sig[:, :, d])
@@ -131,7 +133,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, ta
             if t.num_rows < 2:
                 continue
             own, rep = t.column(4).to_numpy(), t.column(5).to_numpy()
-            i, j = _candidates(binary_rows(t.column(6), "<u4", hashes), own, (tree, a, b), depth, least)
+            i, j = _candidates(binary_rows(t.column(6), "<u2", hashes), own, (tree, a, b), depth, least)
             if len(i):
                 at = np.unique(np.concatenate([i, j]))
                 yield pa.RecordBatch.from_arrays([pa.array([v] * len(at), k) for v, k in ((path, pa.int64()), (tree, pa.int32()), (a, pa.int32()), (b, pa.int32()))] + [pa.array(own[at]), pa.array(rep[at])], names=["path", "tree", "a", "b", "own", "rep"])
@@ -151,7 +153,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, ta
         """Each member's links in the tile, counting copies, and the smallest member that they reach there."""
         for (_, tree, a, b), t in grouped(batches, 4):
             own, rep, n = (t.column(k).to_numpy() for k in (4, 5, 7))
-            i, j = _candidates(binary_rows(t.column(6), "<u4", hashes), own, (tree, a, b), depth, least)
+            i, j = _candidates(binary_rows(t.column(6), "<u2", hashes), own, (tree, a, b), depth, least)
             s = [np.frombuffer(x, dtype=np.uint64) for x in t.column(8).to_pylist()]
             ok = np.zeros(len(i), dtype=bool)
             for k, (x, y) in enumerate(zip(i, j, strict=True)):
