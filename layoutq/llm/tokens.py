@@ -5,8 +5,12 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterable
 
+import numpy as np
 from tokenizers import Tokenizer
 
+#: Signs that end a word and never start a contraction.
+SIGNS = ".,;:!?&$%#*|()"
+
 
 def vocabulary(name: str) -> str:
     import public_tokenizers
@@ -25,7 +29,7 @@ class Encoder:
     def __init__(self, path: str, kind: str, most: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = {"word": self._words, "byte": self._bytes}[kind]
+        self.kind, self.split = kind, {"word": self._words, "byte": self._bytes}[kind]
         self.most, self.young, self.old = most, {}, {}
 
     @staticmethod
@@ -45,15 +49,41 @@ class Encoder:
                 out[-1] += " " + p
         return [p for p in out if p]
 
+    def _parts(self, piece) -> list:
+        """A piece cut where its ids can't depend on both sides: at line ends between signs, and before closing signs of a word."""
+        text = piece.decode() if isinstance(piece, bytes) else piece
+        lines = text.split("\n") if self.kind == "byte" else [text]
+        if len(lines) > 1 and not all(x and not x[-1].isspace() and (x[0].isalnum() or i == 0) for i, x in enumerate(lines)):
+            return [piece]
+        out = []
+        for i, x in enumerate(lines):
+            if i:
+                out.append("\n")
+            word = x.rstrip(SIGNS)
+            if word != x and word.removeprefix(" ").isalpha():
+                out += [word, x[len(word) :]]
+            else:
+                out.append(x)
+        return [p.encode() for p in out] if isinstance(piece, bytes) else out
+
     def _learn(self, new: list, chunk: int = 20_000) -> None:
-        for at in range(0, len(new), chunk):
-            some = new[at : at + chunk]
+        young, old = self.young, self.old
+        cut = {p: self._parts(p) for p in new}
+        missing = {q for ps in cut.values() for q in ps if q not in young}
+        for q in missing:
+            if q in old:
+                young[q] = old[q]
+        missing = [q for q in missing if q not in young]
+        for at in range(0, len(missing), chunk):
+            some = missing[at : at + chunk]
             e = self.tokenizer.encode([p.decode() if isinstance(p, bytes) else p for p in some], is_pretokenized=True, add_special_tokens=False)
-            parts: list[list[int]] = [[] for _ in some]
-            for i, w in zip(e.ids, e.word_ids, strict=True):
-                parts[w].append(i)
-            for p, ids in zip(some, parts, strict=True):
-                self.young[p] = b"".join(i.to_bytes(4, "little") for i in ids)
+            w = np.array(e.word_ids, dtype=np.int64)
+            ids, ends = np.array(e.ids, dtype="<u4").tobytes(), (4 * np.searchsorted(w, np.arange(len(some)), side="right")).tolist()
+            for p, s, t in zip(some, [0, *ends], ends, strict=False):
+                young[p] = ids[s:t]
+        for p, ps in cut.items():
+            if len(ps) > 1:
+                young[p] = b"".join([young[q] for q in ps])
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         pieces = [self.split(t) if t else [] for t in texts]
