@@ -26,18 +26,25 @@ from pyspark.sql import functions as F
 
 from .common import grouped, read, small_batches, stored
 
-LENGTH, GRAM, HEAVY = 100, 32, 512
+LENGTH, GRAM, HEAVY = 100, 32, 16_384
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 
+_TABLES: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.full(n, base, dtype=np.uint64)
-        out[:1] = 1
-        return np.cumprod(out)
+    """The first n powers modulo 2**64, from a table that grows as texts do."""
+    have = _TABLES.get(base)
+    if have is None or len(have) < n:
+        with np.errstate(over="ignore"):
+            have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+            have[0] = 1
+            have = _TABLES[base] = np.cumprod(have)
+    return have[:n]
 
 
 def _finished(h: np.ndarray) -> np.ndarray:
@@ -187,6 +194,43 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[np.r_[0, cut + 1]], x[np.r_[cut, len(x) - 1]]
 
 
+def repeats(contents: list[bytes], doc: np.ndarray, pos: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges (doc, start, end) that go, of the contents of some anchors; all contents of an anchor must be there.
+    Only stretches whose windows' hashes repeat can hold repeats; equal stretches are copies of the earliest, and the array is of distinct ones."""
+    size = np.array([len(c) for c in contents])
+    start = np.cumsum(size) - size
+    rolling = Rolling(np.frombuffer(b"".join(contents), dtype=np.uint8))
+    windows = size - length + 1
+    owner = np.repeat(np.arange(len(size)), windows)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + start[owner]
+    h = rolling.ranges(at, at + length)
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    twice = np.zeros(len(h), dtype=bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    owner, at = owner[twice], at[twice]
+    none = (np.empty(0, dtype=np.int64),) * 3
+    if not len(at):
+        return none
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (np.diff(at) != 1)]
+    first, last, own = at[new], at[np.r_[np.flatnonzero(new)[1:] - 1, len(at) - 1]], owner[new]
+    places: dict[bytes, list[tuple[int, int]]] = {}
+    for k, a, e in zip(own.tolist(), (first - start[own]).tolist(), (last - start[own] + length).tolist(), strict=True):
+        places.setdefault(contents[k][a:e], []).append((int(doc[k]), int(pos[k]) + a))
+    out: list[tuple[int, int, int]] = []
+    rank = []
+    for text, where in places.items():
+        least = min(where)
+        rank.append(least)
+        out += [(d, s, s + len(text)) for d, s in where if (d, s) != least]
+    distinct = list(places)
+    for (d, s), x in zip(rank, repeated_windows(distinct, np.array(rank, dtype=np.int64), length), strict=True):
+        if len(x):
+            out += [(d, s + a, s + e + length) for a, e in zip(*map(np.ndarray.tolist, _runs(x)), strict=True)]
+    return tuple(np.array(c, dtype=np.int64) for c in zip(*out, strict=True)) if out else none
+
+
 def spans(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> DataFrame:
     """doc, and the ranges (s, e) of bytes that go, from docs (doc long not null, text); ranges may overlap."""
     small_batches(docs.sparkSession)
@@ -241,12 +285,20 @@ def spans(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> DataFram
     parts = stored(docs.where("text is not null").join(todo, "doc").select("doc", "text", "xs").mapInArrow(cut, "f long, heavy boolean, doc long, s long, bytes binary"), "parts")
 
     def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def done() -> pa.RecordBatch:
+            t = pa.concat_tables(held)
+            found = repeats(t.column(3).to_pylist(), t.column(1).to_numpy(), t.column(2).to_numpy(), length)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["doc", "s", "e"])
+
         for _, t in grouped(batches, 1):
-            doc, s = t.column(1).to_numpy(), t.column(2).to_numpy()
-            found = repeated_windows(t.column(3).to_pylist(), np.stack([doc, s], 1), length)
-            out = [(np.full(len(a), doc[k]), a + s[k], e + s[k] + length) for k, x in enumerate(found) if len(x) for a, e in [_runs(x)]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["doc", "s", "e"])
+            held.append(t)
+            if sum(x.num_rows for x in held) >= 2048:
+                yield done()
+                held = []
+        if held:
+            yield done()
 
     light = parts.where("not heavy").repartition("f").sortWithinPartitions("f").select("f", "doc", "s", "bytes").mapInArrow(sorted_out, "doc long, s long, e long")
     hot = parts.where("heavy")
