@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
-            for doc, ids in zip(b.column(0).to_pylist(), encoder(tokenizer, "byte").encode(b.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), encoder(tokenizer, "byte").encode(b.column(1)), strict=True):
                 ids, row = ids + tail, row + 1
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]

@@ -141,7 +141,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, shard: int = SHA
 
         total = 0
         for b in batches:
-            for doc, e in zip(b.column(0).to_pylist(), encoder(path, "word").encode(b.column(1).to_pylist()), strict=True):
+            for doc, e in zip(b.column(0).to_pylist(), encoder(path, "word").encode(b.column(1)), strict=True):
                 ids.append(doc)
                 held.append(e + tail)
                 lengths.append(len(e) // 4 + 1)

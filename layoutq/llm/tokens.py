@@ -6,6 +6,8 @@ import functools
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Signs that end a word and never start a contraction.
@@ -29,12 +31,7 @@ class Encoder:
     def __init__(self, path: str, kind: str, most: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind, self.split = kind, {"word": self._words, "byte": self._bytes}[kind]
-        self.most, self.young, self.old = most, {}, {}
-
-    @staticmethod
-    def _words(text: str) -> list:
-        return text.encode("utf-8", "replace").split()
+        self.kind, self.most, self.young, self.old = kind, most, {}, {}
 
     @staticmethod
     def _bytes(text: str) -> list:
@@ -49,54 +46,107 @@ class Encoder:
                 out[-1] += " " + p
         return [p for p in out if p]
 
-    def _parts(self, piece) -> list:
-        """A piece cut where its ids can't depend on both sides: at line ends between signs, and before closing signs of a word."""
-        text = piece.decode() if isinstance(piece, bytes) else piece
-        lines = text.split("\n") if self.kind == "byte" else [text]
-        if len(lines) > 1 and not all(x and not x[-1].isspace() and (x[0].isalnum() or i == 0) for i, x in enumerate(lines)):
-            return [piece]
-        out = []
-        for i, x in enumerate(lines):
-            if i:
-                out.append("\n")
-            word = x.rstrip(SIGNS)
-            if word != x and word.removeprefix(" ").isalpha():
-                out += [word, x[len(word) :]]
-            else:
-                out.append(x)
-        return [p.encode() for p in out] if isinstance(piece, bytes) else out
-
-    def _learn(self, new: list, chunk: int = 20_000) -> None:
-        young, old = self.young, self.old
-        cut = {p: self._parts(p) for p in new}
-        missing = {q for ps in cut.values() for q in ps if q not in young}
-        for q in missing:
-            if q in old:
-                young[q] = old[q]
-        missing = [q for q in missing if q not in young]
-        for at in range(0, len(missing), chunk):
-            some = missing[at : at + chunk]
-            e = self.tokenizer.encode([p.decode() if isinstance(p, bytes) else p for p in some], is_pretokenized=True, add_special_tokens=False)
+    def _learn(self, new: list[str], chunk: int = 20_000) -> None:
+        for at in range(0, len(new), chunk):
+            some = new[at : at + chunk]
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             w = np.array(e.word_ids, dtype=np.int64)
             ids, ends = np.array(e.ids, dtype="<u4").tobytes(), (4 * np.searchsorted(w, np.arange(len(some)), side="right")).tolist()
             for p, s, t in zip(some, [0, *ends], ends, strict=False):
-                young[p] = ids[s:t]
-        for p, ps in cut.items():
-            if len(ps) > 1:
-                young[p] = b"".join([young[q] for q in ps])
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        pieces = [self.split(t) if t else [] for t in texts]
-        young, old = self.young, self.old
-        if len(young) > self.most:
-            self.old, self.young = young, {}
-            young, old = self.young, self.old
-        for p in {p for ps in pieces for p in ps}:
-            if p not in young and p in old:
-                young[p] = old[p]
-        self._learn([p for p in {p for ps in pieces for p in ps} if p not in young])
-        get = young.__getitem__
-        return [b"".join(map(get, ps)) for ps in pieces]
+                self.young[p] = ids[s:t]
+
+    def _ids(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units, by the memo."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old, new = self.young, self.old, []
+        for p in units:
+            if p not in young:
+                if p in old:
+                    young[p] = old[p]
+                else:
+                    new.append(p)
+        self._learn(new)
+        return list(map(young.__getitem__, units))
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and their bounds. A piece is cut into units where its ids can't depend on both
+        sides: at line ends between signs, and before closing signs of a word. A line has three slots: its line end, its word, its signs."""
+        whole = pa.array(pieces, pa.string())
+        if self.kind == "byte":
+            split = pc.split_pattern(whole, "\n")
+            offsets, lines = split.offsets.to_numpy().astype(np.int64), split.flatten()
+        else:
+            offsets, lines = np.arange(len(whole) + 1), whole
+        owner, first = np.repeat(np.arange(len(whole)), np.diff(offsets)), np.zeros(len(lines), dtype=bool)
+        first[offsets[:-1]] = True
+        several = np.flatnonzero((np.diff(offsets) > 1)[owner])
+        ok = [bool(x) and not x[-1].isspace() and (f or x[0].isalnum()) for x, f in zip(_strings(lines.take(pa.array(several))), first[several].tolist(), strict=True)]
+        uncut = np.zeros(len(whole), dtype=bool)
+        uncut[owner[several[~np.array(ok, dtype=bool)]]] = True
+        uncut = uncut[owner]
+        stems = pc.utf8_rtrim(lines, characters=SIGNS)
+        cut = pc.and_(pc.utf8_is_alpha(pc.utf8_ltrim(stems, characters=" ")), pc.not_equal(pc.binary_length(stems), pc.binary_length(lines)))
+        cut = cut.to_numpy(zero_copy_only=False) & ~uncut
+        at = np.flatnonzero(cut)
+        tails = [x[n:] for x, n in zip(_strings(lines.take(pa.array(at))), pc.utf8_length(stems.take(pa.array(at))).to_numpy().tolist(), strict=True)]
+        body = pc.if_else(pa.array(cut), stems, lines)
+        if uncut.any():
+            body = pc.if_else(pa.array(uncut), pc.if_else(pa.array(first), whole.take(pa.array(owner)), ""), body)
+        coded = body.dictionary_encode()
+        units = _strings(coded.dictionary)
+        number = {u: len(units) + k for k, u in enumerate(dict.fromkeys(["", "\n", *tails]))}
+        slots = np.full((len(lines), 3), number[""], dtype=np.int64)
+        slots[~first & ~uncut, 0] = number["\n"]
+        slots[:, 1] = coded.indices.to_numpy()
+        slots[at, 2] = [number[t] for t in tails]
+        held = self._ids([*units, *number])
+        size = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // 4
+        flat, bounds = _gather(np.frombuffer(b"".join(held), "<u4"), np.r_[0, np.cumsum(size)], slots.ravel())
+        return flat, bounds[3 * offsets]
+
+    def encode(self, texts: pa.Array | Iterable[str | None]) -> list[bytes]:
+        """The ids of each text. Arrow splits the texts and finds the distinct pieces of the whole batch; only those come to Python."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string()), "")
+        if not len(texts):
+            return []
+        parts = pc.split_pattern(texts, " ") if self.kind == "byte" else pc.ascii_split_whitespace(texts)
+        ends = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+        coded = parts.flatten().dictionary_encode()
+        pieces, codes, slow = _strings(coded.dictionary), coded.indices.to_numpy().astype(np.int64), []
+        if self.kind == "byte":
+            good = np.array([bool(p) and (p[0].isalnum() or "!" <= p[0] <= "~") for p in pieces], dtype=bool)
+            bad = ~good[codes]
+            bad[ends[:-1]] = False  # the first part of a text has no space before it, and may be anything
+            slow = np.flatnonzero(np.add.reduceat(bad, ends[:-1], dtype=np.int64)).tolist()
+            heads, head = np.unique(codes[ends[:-1]], return_inverse=True)
+            spaced = [" " + p for p, g in zip(pieces, good.tolist(), strict=True) if g]
+            codes = np.maximum(np.cumsum(good) - 1, 0)[codes]
+            codes[ends[:-1]] = len(spaced) + head
+            pieces = spaced + [pieces[k] for k in heads.tolist()]
+        cut = [self._bytes(texts[k].as_py()) for k in slow]
+        number = {p: len(pieces) + k for k, p in enumerate(dict.fromkeys(p for ps in cut for p in ps))}
+        flat, bounds = self._pieces(pieces + list(number))
+        ids, until = _gather(flat, bounds, codes)
+        raw, until = memoryview(ids.tobytes()), (4 * until[ends]).tolist()
+        out = [bytes(raw[s:e]) for s, e in zip(until, until[1:], strict=False)]
+        for k, ps in zip(slow, cut, strict=True):
+            out[k] = _gather(flat, bounds, np.array([number[p] for p in ps], dtype=np.int64))[0].tobytes()
+        return out
+
+
+def _strings(column: pa.Array) -> list[str]:
+    """As to_pylist, without a scalar object for each row."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _gather(flat: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of flat that codes name, one after the other, and their bounds; run k is flat[bounds[k] : bounds[k + 1]]."""
+    n = (bounds[1:] - bounds[:-1])[codes]
+    until = np.r_[0, np.cumsum(n)]
+    at = np.arange(int(until[-1]))
+    at += np.repeat(bounds[codes] - until[:-1], n)
+    return flat[at], until
 
 
 @functools.cache
