@@ -36,13 +36,17 @@ def repair(x: np.ndarray, end: int = END, base: int = BASE, rounds: int = ROUNDS
         if len(x) < 2 or base + len(rules) >= SYMBOLS:
             break
         a, b = x[:-1], x[1:]
-        bucket = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)))
-        bucket = (bucket ^ (bucket >> np.uint32(15))) & mask
+        bucket = a * np.uint32(0x9E3779B1)
+        bucket ^= b * np.uint32(0x85EBCA77)
+        bucket ^= bucket >> np.uint32(15)
+        bucket &= mask
         bucket[a == end] = 0
+        bucket = bucket.astype(np.intp)
         seen = np.bincount(bucket, minlength=int(mask) + 1)
         seen[0] = 0
-        floor = max(least, int(np.partition(seen, -pairs)[-pairs]))
-        at = np.flatnonzero(seen[bucket] >= floor)
+        large = seen[seen >= least]
+        floor = int(np.partition(large, -pairs)[-pairs]) if len(large) > pairs else least
+        at = np.flatnonzero((seen >= floor)[bucket])
         codes = a[at].astype(np.uint64) << np.uint64(32) | b[at]
         each, counts = np.unique(codes, return_counts=True)
         order = np.lexsort((each, -counts))
