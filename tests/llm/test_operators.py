@@ -184,6 +184,12 @@ def test_encoder_equals_the_library(name, kind):
     assert encoder(vocabulary(name), kind).encode(texts) == [packed_ids(ids_of(name, t, 0)[:-1]) for t in texts]
 
 
+@pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+@pytest.mark.parametrize("texts", [[], [None], [""], [None, ""], [" "], [" \xa0"], ["\xa0"], ["\n", " \n x\ny. "], ["a  b", None, "a b", " \u0301a"]])
+def test_encoder_on_odd_batches(name, kind, texts):
+    assert encoder(vocabulary(name), kind).encode(texts) == [packed_ids(ids_of(name, t, 0)[:-1]) for t in texts]
+
+
 def test_token_files(docs, none):
     got = sorted(rows(token_files.read_shards(token_files.write_shards(docs, shard=700))), key=lambda r: r["start"])
     at = 0
