@@ -3,8 +3,9 @@
 Texts with equal shingle sets are one class; its representative is the smallest id, and only representatives are compared. Each has a MinHash signature of
 ``trees`` labels; a label's prefix of ``depth`` values is a path in that tree's trie. Paths start at ``DEEPEST`` values and are shortened until pairs at
 the threshold meet in some tree with the target recall. Representatives that share a path meet in tiles of bounded size: a large
-bucket is cut into blocks, and every two blocks make a tile. In a tile, signatures rule out pairs far below the threshold, a pair counts only in the
-first tree in which it meets, and what is left is verified on the whole shingle sets. Tiles return link counts and star edges, never pairs.
+bucket is cut into blocks, and every two blocks make a tile. In a tile, a pair counts only in the first tree in which it meets; pairs whose set sizes
+can't give the threshold are left out, which loses nothing, and all others are verified on the whole shingle sets. Only pairs that meet in no tree can be
+missed. Tiles return link counts and star edges, never pairs.
 
 Edge cases: null and empty texts link with nothing and stay; texts of one to four words have one shingle, the whole text; texts that
 differ in white space only have equal sets; a row that repeats an id takes part like any other; extra columns are ignored by the
@@ -13,7 +14,6 @@ operator and passed through by ``one_of_each``; ties and copies go to the smalle
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,30 +68,32 @@ def _seeds(n: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, hashes: int) -> DataFrame:
-    """doc_id, key of the shingle set (null without words), signature."""
+    """doc_id, key of the shingle set (null without words), its size, signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds(hashes)
         for b in batches:
-            keys, sigs = [], []
+            keys, sizes, sigs = [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                sizes.append(len(s))
                 sigs.append(signature(s, seeds) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], names=["doc_id", "key", "size", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, key binary, sig binary")
+    return docs.mapInArrow(run, "doc_id long, key binary, size int, sig binary")
 
 
-def _candidates(sig: np.ndarray, own: np.ndarray, tile: tuple[int, int, int], depth: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs that this tile decides: of its two blocks, first met in its tree, similar enough by signature."""
+def _candidates(sig: np.ndarray, size: np.ndarray, own: np.ndarray, tile: tuple[int, int, int], depth: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs that this tile decides: of its two blocks, first met in its tree, similar enough by the sizes of their sets."""
     tree, a, b = tile
     x, y = (np.flatnonzero(own == k) for k in (a, b))
     found = []
     for at in range(0, len(x), 64):
         eq = sig[x[at : at + 64]][:, None, :] == sig[y][None, :, :]
         first = eq.reshape(eq.shape[0], len(y), -1, depth).all(axis=3).argmax(axis=2)
-        i, j = np.nonzero((eq.sum(axis=2) >= least) & (first == tree))
+        u, v = size[x[at : at + 64]][:, None], size[y][None, :]
+        i, j = np.nonzero((np.minimum(u, v) >= threshold * np.maximum(u, v)) & (first == tree))
         found.append((x[at : at + 64][i], y[j]))
     i, j = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (x[:0], y[:0])
     if a == b:
@@ -105,10 +107,9 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, ta
     small_batches(spark)
     depth = depth_for(threshold, trees, target)
     hashes = trees * depth
-    least = math.floor(hashes * threshold - 4.5 * math.sqrt(hashes * threshold * (1 - threshold)))
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     s = stored(signed(docs, hashes), "signatures")
-    reps = stored(s.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig")), "classes")
+    reps = stored(s.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig")), "classes")
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,13 +134,13 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, ta
             if t.num_rows < 2:
                 continue
             own, rep = t.column(4).to_numpy(), t.column(5).to_numpy()
-            i, j = _candidates(binary_rows(t.column(6), "<u2", hashes), own, (tree, a, b), depth, least)
+            i, j = _candidates(binary_rows(t.column(6), "<u2", hashes), t.column(7).to_numpy(), own, (tree, a, b), depth, threshold)
             if len(i):
                 at = np.unique(np.concatenate([i, j]))
                 yield pa.RecordBatch.from_arrays([pa.array([v] * len(at), k) for v, k in ((path, pa.int64()), (tree, pa.int32()), (a, pa.int32()), (b, pa.int32()))] + [pa.array(own[at]), pa.array(rep[at])], names=["path", "tree", "a", "b", "own", "rep"])
 
     kind = "path long, tree int, a int, b int, own int, rep long"
-    met = stored(dealt(met.join(reps.select("rep", "sig"), "rep").select("path", "tree", "a", "b", "own", "rep", "sig")).mapInArrow(near, kind), "met")
+    met = stored(dealt(met.join(reps.select("rep", "sig", "size"), "rep").select("path", "tree", "a", "b", "own", "rep", "sig", "size")).mapInArrow(near, kind), "met")
     needed = met.select(F.col("rep").alias("doc_id")).distinct()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,14 +154,12 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, ta
         """Each member's links in the tile, counting copies, and the smallest member that they reach there."""
         for (_, tree, a, b), t in grouped(batches, 4):
             own, rep, n = (t.column(k).to_numpy() for k in (4, 5, 7))
-            i, j = _candidates(binary_rows(t.column(6), "<u2", hashes), own, (tree, a, b), depth, least)
             s = [np.frombuffer(x, dtype=np.uint64) for x in t.column(8).to_pylist()]
+            i, j = _candidates(binary_rows(t.column(6), "<u2", hashes), np.array([len(x) for x in s]), own, (tree, a, b), depth, threshold)
             ok = np.zeros(len(i), dtype=bool)
             for k, (x, y) in enumerate(zip(i, j, strict=True)):
-                u, v = len(s[x]), len(s[y])
-                if min(u, v) >= threshold * max(u, v):
-                    both = len(np.intersect1d(s[x], s[y], assume_unique=True))
-                    ok[k] = both >= threshold * (u + v - both)
+                both = len(np.intersect1d(s[x], s[y], assume_unique=True))
+                ok[k] = both >= threshold * (len(s[x]) + len(s[y]) - both)
             i, j = i[ok], j[ok]
             if len(i):
                 links = np.bincount(i, n[j], len(rep)) + np.bincount(j, n[i], len(rep))

@@ -107,6 +107,18 @@ def test_many_near_copies_fill_several_tiles(spark):
         assert r["n_links"] == sum(j != i and len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) for j in s)
 
 
+def test_met_pairs_are_linked_whatever_their_signatures(spark):
+    """Similarity exactly 0.8; the pairs meet in a tree, but agree in only 41 or 42 of the 80 labels."""
+    found = [("b1", "w5285", "w8930"), ("d2", "w2386", "w2084"), ("f0", "w14550", "w14972")]
+    texts = [" ".join([f"{base}x{i}" for i in range(12)] + [last]) for base, *two in found for last in two]
+    seeds = jaccard_join._seeds(80)
+    for x, y in zip(texts[::2], texts[1::2], strict=True):
+        eq = np.equal(*(np.frombuffer(jaccard_join.signature(jaccard_join.shingles(t), seeds), "<u2") for t in (x, y)))
+        assert eq.reshape(20, 4).all(axis=1).any() and eq.sum() < 44
+    got = rows(jaccard_join.linked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {r["doc_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (1, i - i % 2) for i in range(6)}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 8))
