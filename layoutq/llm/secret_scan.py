@@ -1,7 +1,7 @@
 """Secret scans: format rules, and the token-efficiency test for random strings.
 
 A random string needs many tokens of a public byte-pair vocabulary for its characters, while words, paths and identifiers need few.
-Candidates are long unbroken runs; known digests and identifiers are taken out first, and a run with at most
+Candidates are long unbroken runs; digests, UUIDs and plain numbers are taken out first, and any other run with at most
 ``most_chars_per_token`` characters a token is reported. One scan, no shuffle; texts stream through in bounded Arrow batches.
 
 Edge cases: a null or empty text has no spans (hash of the empty string); very long texts are scanned whole in linear time;
@@ -28,9 +28,9 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: What a run may be without being a secret: digests by length, UUIDs, dotted or underscored names, paths, plain numbers.
+#: What a run may be without being a secret: digests by length or prefix, UUIDs, plain numbers. Names and paths are left to the token test.
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.I)
-IDENTIFIER = re.compile(r"(?:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}|[0-9+/_=-]+|[A-Za-z+/_=-]+|[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?[0-9]{1,4}|(?:sha1|sha256|sha384|sha512|md5)-[A-Za-z0-9+/]+=*)\Z", re.I)
+IDENTIFIER = re.compile(r"(?:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}|[0-9+/_=-]+|(?:sha1|sha256|sha384|sha512|md5)-[A-Za-z0-9+/]+=*)\Z", re.I)
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
 

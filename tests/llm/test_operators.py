@@ -303,6 +303,19 @@ def test_secret_scan(docs, none):
     assert secret_scan.scan(none).count() == 0
 
 
+def test_random_runs_of_letters():
+    """Random runs count also without digits or with a few at the end; words, names, paths, numbers, UUIDs and digests don't."""
+    from public_tokenizers import path
+
+    of = lambda text: secret_scan.random_runs(text, [], path("byte_bpe_50k.tiktoken"), 2.2)
+    rng = random.Random(5)
+    letters = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=n)) for n in (20, 24, 32, 64)]
+    for run in [*letters, *[f"{x}42" for x in letters], *[f"{x[:9]}-{x[9:]}_2019" for x in letters]]:
+        assert of(f"key {run}.") == [(4, 3, 4 + len(run))], run
+    for run in ("internationalization_of_identifiers", "/usr/local/share/applications/defaults", "getElementsByTagNameNS2024", "=" * 50, "0123-4567-8901-2345-6789", "123e4567-e89b-12d3-a456-426614174000", "sha256-" + letters[3], "9E107D9D372BB6826BD81D3542A419D6"):
+        assert of(run) == [], run
+
+
 def test_mixing(docs, none):
     got = rows(source_mixing.mixed(docs))
     size = {c[0]: len(re.findall(r"[^\x20\x09-\x0D]+", c[1] or "")) for c in corpus()}
