@@ -1,8 +1,8 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash bands, then exact verification.
 
 Texts with equal shingle sets are one class; its representative is the smallest id, and only representatives are compared. Each has a MinHash signature of
-``trees`` labels; a label's prefix of ``depth`` values is a path in that tree's trie. Paths start at ``DEEPEST`` values and are shortened until pairs at
-the threshold meet in some tree with the target recall. Representatives that share a path meet in tiles of bounded size: a large
+``trees`` bands of ``depth`` labels; a band is the path in a tree of an LSH forest whose depth is fixed: the longest, of ``DEEPEST`` at most, at which pairs at
+the threshold meet in some tree with the target recall. No prefixes are shortened by bucket. Representatives that share a path meet in tiles of bounded size: a large
 bucket is cut into blocks, and every two blocks make a tile. In a tile, a pair counts only in the first tree in which it meets; pairs whose set sizes
 can't give the threshold are left out, which loses nothing, and all others are verified on the whole shingle sets. Only pairs that meet in no tree can be
 missed. Tiles return link counts and star edges, never pairs.
