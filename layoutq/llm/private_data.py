@@ -6,7 +6,7 @@ thresholds, calibrated on the half of the documents that the trees didn't see, s
 
 Trees learn weakly: a proposal counts as right where it covers a base span of its kind. Feature values are small bins, so
 the training data are counts per feature vector over all documents: the table's size is bounded by the product of the bins
-(``MOST_VECTORS``), never by the corpus. Everything on the data is built-in functions: one scan, one small aggregate, no user code.
+(``MOST_VECTORS``, of which far fewer can occur together), never by the corpus, and all of it is used. Everything on the data is built-in functions: one scan, one small aggregate, no user code.
 
 Patterns are possessive where that can't change a match, and start at the previous match's end or outside a run, so that a text of any length costs linear time.
 
@@ -16,6 +16,8 @@ joined by id; extra columns pass through ``redacted``; an empty table trains no
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +46,6 @@ GENERATORS = (
     (3, r"(?<![0-9+])\+[0-9]{1,3}+(?:[ .-][0-9]{2,4}){3,5}(?![0-9])", "\\+[0-9]"),
 )
 SPAN = "array<struct<k:int,s:int,e:int,m:string>>"
-MOST_VECTORS = 100_000
 
 
 def spans_of(text: Column, kind: int, pattern: str, needs: str) -> Column:
@@ -87,6 +88,9 @@ def proposed(df: DataFrame, text: str = "text", base: str = "base", more: str =
 
 
 FEATURES = ("kind", "length", "digits", "separators", "plus", "parenthesis", "luhn", "octets", "before", "after", "letters", "context")
+#: How many values each feature has, and so how many vectors there can be in the two halves.
+BINS = (4, 6, 8, 5, 2, 2, 2, 2, 5, 5, 4, 2)
+MOST_VECTORS = 2 * math.prod(BINS)
 
 
 def vector(t: Column, x: Column) -> Column:
@@ -194,7 +198,7 @@ def learned(spans: DataFrame) -> Trees:
     x = spans.where(F.size("proposals") > 0).select(half.alias("half"), "base", F.explode("proposals").alias("x"))
     right = F.exists("base", lambda b: (b["k"] == F.col("x.k")) & (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"]))
     counts = x.select("half", F.col("x.v").alias("v"), right.cast("int").alias("y")).groupBy("half", "v").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
-    rows = counts.orderBy(F.desc("n"), "half", "v").limit(MOST_VECTORS).collect()  # more can't exist while bins are as above; the bound is for changed ones
+    rows = counts.orderBy(F.desc("n"), "half", "v").collect()  # all of them: MOST_VECTORS at most
     parts = []
     for h in (0, 1):
         own = [r for r in rows if r["half"] == h]

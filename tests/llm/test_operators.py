@@ -291,6 +291,27 @@ def test_trees_learn_formats():
     assert t.raw(x)[x[:, 4] == 1].min() > t.raw(x)[x[:, 4] == 0].max() and t.raw(x)[x[:, 4] == 1].min() >= t.thresholds[3]
 
 
+def test_trees_learn_from_every_vector(spark):
+    """120,000 vectors, each once; those of the last kind are all right."""
+    d = F.col("id")
+    size = private_data.BINS
+    place, v = F.floor(d / 4), [F.pmod(d, F.lit(4))]
+    for n in reversed(size[1:]):
+        v.append(F.pmod(place, F.lit(n)))
+        place = F.floor(place / n)
+    v = F.array(*[c.cast("int") for c in [v[0], *v[:0:-1]]])
+    one = F.struct(v[0].alias("k"), F.lit(0).alias("s"), F.lit(9).alias("e"), d.cast("string").alias("m"))
+    base = F.when(v[0] == 3, F.array(one)).otherwise(F.array().cast(private_data.SPAN))
+    spans = spark.range(120_000).select(base.alias("base"), F.array(F.struct(*[one[c].alias(c) for c in "ksem"], v.alias("v"))).alias("proposals"))
+    assert spans.select("proposals.v").distinct().count() == 120_000 < private_data.MOST_VECTORS
+    assert set(private_data.learned(spans).thresholds) == {3}
+
+
+def test_vectors_are_within_their_bins(docs):
+    found = [x["v"] for r in rows(private_data.proposed(docs.select("text"))) for x in r["proposals"]]
+    assert found and all(len(v) == len(private_data.BINS) and all(0 <= c < n for c, n in zip(v, private_data.BINS, strict=True)) for v in found)
+
+
 def test_secret_scan(docs, none):
     for r in rows(secret_scan.scan(docs)):
         t = corpus()[r["doc_id"]][1] or ""
