@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,9 +22,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the session has it, else one of our own (tests)."""
+    """The folder that driver and executors share, which the session names in ``spark.checkpoint.dir``. Where it names none, a session
+    in one process (tests) gets a temporary one; on a cluster that is an error, as executors elsewhere couldn't read it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|\Z)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -45,6 +49,13 @@ def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever its case."""
+    have = {c.lower() for c in df.columns}
+    k = next(k for k in range(len(have) + 1) if not any(f"{n}_{k}" in have for n in names))
+    return [f"{n}_{k}" for n in names]
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
