@@ -1,28 +1,28 @@
 """Personal data: high-recall generators propose overlapping spans, boosted trees choose among them.
 
 Base spans follow fixed formats and always stay. Generators with looser formats propose further spans (a phone number that runs
-into another number, a card next to an address). Small boosted trees score each proposal by format and context features; per-kind
-thresholds, calibrated on the half of the documents that the trees didn't see, select what is added.
+into another number, a card next to an address, an address with its dots in brackets). Small boosted trees score each proposal that overlaps no base span by format
+and context features; per-kind thresholds, calibrated on proposals that the trees didn't see, select what is added. Of accepted
+proposals of one kind the one that contains others stays.
 
-Trees learn weakly: a proposal counts as right where it covers a base span of its kind. Feature values are small bins, so
-the training data are counts per feature vector over all documents: the table's size is bounded by the product of the bins
-(``MOST_VECTORS``, of which far fewer can occur together), never by the corpus, and all of it is used. Everything on the data is built-in functions: one scan, one small aggregate, no user code.
+What the trees learn from doesn't come from the base spans: into ``SAMPLE`` contexts of up to ``WIDTH`` characters (the text with the least hash of each of as many
+buckets, so that copies and sources have no more weight than others) seeded personal data and look-alikes are planted, whose truth is known; a proposal there
+is right where it is exactly a planted true span. That table has a fixed size, whatever the corpus; half of the contexts trains, the other half calibrates.
+Everything on the data is built-in functions: one small aggregate of contexts, then one projection over all texts, no user code.
 
 Patterns are possessive where that can't change a match, and start at the previous match's end or outside a run, so that a text of any length costs linear time.
 
 Edge cases: null and empty texts have no spans (hash of the empty string); repeated rows and ids each get their row, as nothing is
-joined by id; extra columns pass through ``redacted``; an empty table trains no trees and adds nothing.
+joined by id; extra columns pass through ``redacted``; an empty table gives an empty result (its trees learn from planted spans without context).
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import free_names, read
 
 KINDS = ("email", "ip", "card", "phone")
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?)?+"
@@ -39,6 +39,8 @@ GENERATORS = (
     (0, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}+[A-Za-z]{2,24}+", "@"),
     (0, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}+){1,8}+", "[\\[(]at[\\])]"),
     (1, r"(?<![0-9.])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}(?![0-9])", "[0-9]\\.[0-9]"),
+    (1, r"(?<![0-9.])[0-9]{1,3}+(?:\[\.\][0-9]{1,3}+){3}(?![0-9])", "\\[\\.\\][0-9]"),
+    (1, r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])", "[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
     (2, r"(?<![0-9])[0-9]{13,19}+(?![0-9])", "[0-9]{13}"),
     (2, r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])", "[0-9]{4}[ -][0-9]{4}"),
     (3, r"(?<![0-9+])\+[0-9]{1,3}+[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])", "\\+[0-9]"),
@@ -62,11 +64,16 @@ def spans_of(text: Column, kind: int, pattern: str, needs: str) -> Column:
     return F.when(text.contains("@") if needs == "@" else text.rlike(needs), F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]).otherwise(none)
 
 
-def luhn(match: Column) -> Column:
-    r = F.reverse(F.regexp_replace(match, "[ -]", ""))
+def luhn_sum(digits: Column) -> Column:
+    r = F.reverse(digits)
     total = lambda s: F.aggregate(F.split(s, ""), F.lit(0), lambda a, c: a + F.when(c == "", 0).otherwise(F.ascii(c) - 48))
     plain, doubled = F.regexp_replace(r, "(.).?", "$1"), F.translate(F.regexp_replace(r, ".(.?)", "$1"), "0123456789", "0246813579")
-    return F.when(F.length(r).between(13, 19), (total(plain) + total(doubled)) % 10 == 0).otherwise(False)
+    return total(plain) + total(doubled)
+
+
+def luhn(match: Column) -> Column:
+    digits = F.regexp_replace(match, "[ -]", "")
+    return F.when(F.length(digits).between(13, 19), luhn_sum(digits) % 10 == 0).otherwise(False)
 
 
 def valid(kind: int, match: Column) -> Column:
@@ -78,19 +85,16 @@ def valid(kind: int, match: Column) -> Column:
 
 
 def proposed(df: DataFrame, text: str = "text", base: str = "base", more: str = "proposals") -> DataFrame:
-    """df with the valid base spans and the proposals of all generators that no base span overlaps or equals."""
+    """df with the valid base spans, and with those proposals of the generators that no base span overlaps, each with its features."""
     t = F.coalesce(F.col(text), F.lit(""))
     checked = lambda k: lambda x: valid(k, x["m"])
     found = [F.filter(spans_of(t, k, p, needs), checked(k)) for k, (p, needs) in enumerate(BASE)]
-    df = df.withColumn(base, F.concat(*found))
-    any_of = F.concat(*[spans_of(t, k, p, needs) for k, p, needs in GENERATORS])
-    return df.withColumn(more, F.transform(any_of, lambda x: F.struct(*[x[c].alias(c) for c in "ksem"], vector(t, x).alias("v"))))
+    df = df.withColumn(base, F.concat(*found)).withColumn(more, F.concat(*[spans_of(t, k, p, needs) for k, p, needs in GENERATORS]))
+    free = F.filter(F.array_distinct(more), lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    return df.withColumn(more, F.transform(free, lambda x: F.struct(*[x[c].alias(c) for c in "kse"], vector(t, x).alias("v"))))
 
 
-FEATURES = ("kind", "length", "digits", "separators", "plus", "parenthesis", "luhn", "octets", "before", "after", "letters", "context")
-#: How many values each feature has, and so how many vectors there can be in the two halves.
-BINS = (4, 6, 8, 5, 2, 2, 2, 2, 5, 5, 4, 2)
-MOST_VECTORS = 2 * math.prod(BINS)
+FEATURES = ("kind", "length", "digits", "separators", "plus", "parenthesis", "dashed", "luhn", "octets", "ending", "before", "after", "letters", "numbered", "addressed", "coded")
 
 
 def vector(t: Column, x: Column) -> Column:
@@ -102,16 +106,84 @@ def vector(t: Column, x: Column) -> Column:
     head = F.lower(F.substring(t, F.greatest(x["s"] - 11, F.lit(1)), F.least(x["s"], F.lit(12))))
     return F.array(
         x["k"], bin_of(x["e"] - x["s"], 10, 13, 16, 20, 40), bin_of(digits, 1, 7, 9, 13, 16, 17, 20), bin_of(F.length(F.regexp_replace(m, "[^ ().-]", "")), 1, 2, 4, 6),
-        m.contains("+").cast("int"), m.contains("(").cast("int"), luhn(m).cast("int"), F.coalesce(m.rlike(IP), F.lit(False)).cast("int"),
+        m.contains("+").cast("int"), m.contains("(").cast("int"), m.rlike("[0-9][.-][0-9]").cast("int"), luhn(m).cast("int"), F.coalesce(F.regexp_replace(m, r"[\[\]]", "").rlike(IP), F.lit(False)).cast("int"),
+        m.rlike(r"(?:\.|[\])] ?)(?:com|org|net|edu|gov|info|io|example|de|fr|es|uk)$").cast("int"),
         F.when(x["s"] == 0, 0).otherwise(side(F.substring(t, x["s"], 1))), side(F.substring(t, x["e"] + 1, 1)), bin_of(F.length(F.regexp_replace(m, "[^A-Za-z]", "")), 1, 4, 16),
-        head.rlike("version|build|rev|isbn|issn|doi|no\\.|#").cast("int"),
+        head.rlike("version|build|rev|isbn|issn|doi|part|ref|serial|order|no\\.|#").cast("int"), head.rlike("call|tel|phone|fax|card|visa|mail|contact|host|server").cast("int"), head.rlike("\\+[0-9]{1,3}[ .-]?$").cast("int"),
     )
 
 
+SAMPLE, WIDTH, PLANTED = 2048, 240, 4
+
+
+def contexts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """b from 0 to SAMPLE - 1, and a piece of a text for each: of the one with the least hash in this bucket, empty where there is none."""
+    t, h = F.col(text), F.xxhash64(text)
+    at = F.pmod(h, F.greatest(F.length(t) - WIDTH, F.lit(1)).cast("long")).cast("int") + 1
+    found = docs.where(F.length(t) > 0).select(F.pmod(F.xxhash64(h), F.lit(SAMPLE)).alias("b"), F.struct(h.alias("h"), F.substring(t, at, F.lit(WIDTH)).alias("c")).alias("x"))
+    found = found.groupBy("b").agg(F.min("x").alias("x"))
+    return docs.sparkSession.range(SAMPLE).select(F.col("id").alias("b")).join(found, "b", "left").select("b", F.coalesce("x.c", F.lit("")).alias("c"))
+
+
+def specimens(seed: int) -> list[Column]:
+    """Personal data and look-alikes, made of hashes of b and of a card number: kind, whether it is right, what stands before it, itself, what stands after it."""
+    hashed = lambda k: F.xxhash64(F.col("b"), F.lit(seed), F.lit(k))
+    number = lambda k, n: F.lpad(F.pmod(hashed(k), F.lit(10**n)).cast("string"), n, "0")
+    one_of = lambda k, *names: F.get(F.lit(list(names)), F.pmod(hashed(k), F.lit(len(names))).cast("int"))
+    octet = lambda k: F.pmod(hashed(k), F.lit(256)).cast("string")
+    joined_by = lambda sep, *parts: F.concat_ws(sep, *parts)
+    card, no_card = F.col("card"), F.concat(F.substring("card", 1, 15), ((F.substring("card", 16, 1).cast("int") + 3) % 10).cast("string"))
+    area, local, line = number(2, 3), number(3, 3), number(4, 4)
+    ip = joined_by(".", *[octet(k) for k in (5, 6, 7, 8)])
+    name, host = F.concat(one_of(9, "anna", "jo.lee", "m_kim", "sales", "info"), one_of(10, "", "", "7", "42")), one_of(11, "mail.example", "example", "post4", "host-a.example")
+    call, bank = one_of(12, "", "call ", "tel ", "phone "), one_of(12, "", "card ", "visa ", "")
+    groups = F.regexp_replace(card, "(....)(....)(....)(....)", one_of(13, "$1 $2 $3 $4", "$1-$2-$3-$4"))
+    none, space = F.lit(""), F.lit(" ")
+    made = [
+        (3, True, call, F.concat(F.lit("+1 ("), area, F.lit(") "), local, F.lit("-"), line), F.concat(space, card)),
+        (3, True, none, F.concat(F.lit("+1 ("), area, F.lit(") "), local, F.lit("-"), line), F.concat(space, ip)),
+        (3, True, call, F.concat(F.lit("("), area, F.lit(") "), local, F.lit("-"), line), none),
+        (3, True, call, joined_by("-", area, local, line), none),
+        (3, True, call, joined_by(".", area, local, line), none),
+        (3, False, one_of(14, "part no. ", "ref ", "serial #"), joined_by("-", area, local, line), none),
+        (3, False, F.concat(number(15, 4), space), joined_by(" ", area, local, line), F.concat(space, number(16, 3))),
+        (2, True, bank, card, F.concat(space, ip)),
+        (2, True, F.concat(number(17, 2), space), card, none),
+        (2, True, F.concat(ip, space), card, none),
+        (2, True, bank, groups, F.concat(space, number(17, 2))),
+        (2, False, none, no_card, F.concat(space, ip)),
+        (2, False, F.concat(one_of(18, "a", "7f", "c0e"), none), card, one_of(20, "f", "be1", "d")),
+        (2, False, one_of(18, "order ", "at "), F.concat(F.lit("17"), number(19, 11)), F.concat(space, number(17, 2))),
+        (0, True, none, F.concat(name, one_of(21, " [at] ", "[at]", " (at) ", "(at)"), host, one_of(22, " [dot] com", "(dot)org", ".net", ".com")), none),
+        (0, False, none, F.concat(one_of(21, "us", "them", "it"), F.lit(" (at) "), one_of(22, "noon", "home", "auction"), one_of(23, ". Then", ". The", ".So")), none),
+        (0, False, none, F.concat(one_of(21, "vec", "row", "items"), F.lit("[at]"), one_of(22, "i.next", "first.value", "k.size")), none),
+        (1, True, one_of(24, "", "host ", "server "), joined_by("[.]", *[octet(k) for k in (5, 6, 7, 8)]), none),
+        (1, True, none, joined_by(":", *[F.lower(F.hex(F.pmod(hashed(k), F.lit(65536)))) for k in range(30, 38)]), none),
+        (1, False, one_of(24, "version ", "", "build "), joined_by(".", F.concat(F.lit("9"), number(25, 2)), *[one_of(k, "1", "0", "12", "204") for k in (5, 6, 7)]), none),
+        (1, False, none, joined_by(":", *[number(k, 2) for k in range(30, 38)]), none),
+    ]
+    return [F.struct(F.lit(k).alias("k"), F.lit(right).alias("right"), pre.alias("pre"), span.alias("span"), post.alias("post")) for k, right, pre, span, post in made]
+
+
+def planted(found: DataFrame, seed: int = 1) -> DataFrame:
+    """half, v, y for every proposal that touches a planted span: its features, and whether it is exactly that and true."""
+    made, body = specimens(seed), F.concat(F.lit("4"), F.lpad(F.pmod(F.xxhash64("b", F.lit(seed)), F.lit(10**14)).cast("string"), 14, "0"))
+    card = F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
+    x = found.repartition(8, "b").withColumn("card", card).withColumn("made", F.array(*made))
+    which = F.array(*[F.pmod(F.floor(F.col("b") / 2) * PLANTED + j, F.lit(len(made))).cast("int") for j in range(PLANTED)])
+    x = x.select("b", "c", F.explode(F.transform(which, lambda k: F.get("made", k))).alias("z"))
+    left, right = F.substring("c", 1, WIDTH // 2), F.substring("c", WIDTH // 2 + 1, WIDTH)
+    text = F.concat(left, F.lit(" "), F.col("z.pre"), F.col("z.span"), F.col("z.post"), F.lit(" "), right)
+    x = x.select("b", "z", text.alias("text"), (F.length(left) + 1 + F.length("z.pre")).alias("s")).withColumn("e", F.col("s") + F.length("z.span"))
+    x = proposed(x).select("b", "z.k", "z.right", "s", "e", F.explode("proposals").alias("x")).where((F.col("x.s") < F.col("e")) & (F.col("x.e") > F.col("s")))
+    y = F.col("right") & (F.col("x.k") == F.col("k")) & (F.col("x.s") == F.col("s")) & (F.col("x.e") == F.col("e"))
+    return x.select((F.col("b") % 2).alias("half"), F.col("x.v").alias("v"), y.cast("int").alias("y"))
+
+
 class Trees:
     """Boosted depth-two trees on counts per feature vector, with a threshold for each kind."""
 
-    def __init__(self, rounds: int = 12, rate: float = 0.5, precision: float = 0.8):
+    def __init__(self, rounds: int = 24, rate: float = 0.5, precision: float = 0.9):
         self.rounds, self.rate, self.precision = rounds, rate, precision
         self.trees: list[tuple] = []
         self.thresholds: dict[int, float] = {}
@@ -166,15 +238,18 @@ class Trees:
         return f
 
     def calibrate(self, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> Trees:
-        """Per kind the lowest score from which held-out proposals are right often enough."""
+        """Per kind the lowest score from which held-out proposals are right often enough, all together, and at each score more often than not."""
         f = self.raw(x)
         for kind in range(len(KINDS)):
-            order = sorted(np.flatnonzero(x[:, 0] == kind), key=lambda i: -f[i]) if len(x) else []
+            own = np.flatnonzero(x[:, 0] == kind) if len(x) else []
             right = seen = 0.0
-            for i in order:
-                right, seen = right + y[i], seen + n[i]
+            for score in sorted({round(float(f[i]), 9) for i in own}, reverse=True):
+                at = [i for i in own if round(float(f[i]), 9) == score]
+                right, seen = right + y[at].sum(), seen + n[at].sum()
+                if 2 * y[at].sum() < n[at].sum():
+                    break
                 if right >= self.precision * seen:
-                    self.thresholds[kind] = float(f[i]) - 1e-9
+                    self.thresholds[kind] = score - 1e-6
         return self
 
     def column(self, v: Column) -> Column:
@@ -192,13 +267,10 @@ class Trees:
         return ok
 
 
-def learned(spans: DataFrame) -> Trees:
-    """From proposed() rows: counts per vector and half over all documents, then the trees and thresholds on the driver."""
-    half = F.pmod(F.xxhash64("base", "proposals"), F.lit(2))
-    x = spans.where(F.size("proposals") > 0).select(half.alias("half"), "base", F.explode("proposals").alias("x"))
-    right = F.exists("base", lambda b: (b["k"] == F.col("x.k")) & (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"]))
-    counts = x.select("half", F.col("x.v").alias("v"), right.cast("int").alias("y")).groupBy("half", "v").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
-    rows = counts.orderBy(F.desc("n"), "half", "v").collect()  # all of them: MOST_VECTORS at most
+def learned(docs: DataFrame, text: str = "text", seed: int = 1) -> Trees:
+    """Trees and thresholds, fitted on the driver to counts per feature vector of what was planted: SAMPLE * PLANTED texts, so a bounded number."""
+    counts = planted(contexts(docs, text), seed).groupBy("half", "v").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    rows = sorted(counts.collect(), key=lambda r: (r["half"], r["v"]))
     parts = []
     for h in (0, 1):
         own = [r for r in rows if r["half"] == h]
@@ -207,10 +279,12 @@ def learned(spans: DataFrame) -> Trees:
 
 
 def chosen(trees: Trees, base: str = "base", more: str = "proposals") -> Column:
-    """Base spans and accepted proposals that overlap none of them, by kind and start."""
+    """Base spans and accepted proposals, by kind and start; of accepted ones of a kind that contain one another the longest."""
     bare = lambda x: F.struct(*[x[c].alias(c) for c in "kse"])
-    added = F.filter(more, lambda x: trees.accepts(x) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return F.sort_array(F.array_distinct(F.concat(F.transform(base, bare), F.transform(added, bare))))
+    added = F.transform(F.filter(more, trees.accepts), bare)
+    within = lambda x, y: (x["k"] == y["k"]) & (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (y["e"] - y["s"] > x["e"] - x["s"])
+    outer = F.transform(F.array(added), lambda all_: F.filter(all_, lambda x: ~F.exists(all_, lambda y: within(x, y))))[0]
+    return F.sort_array(F.array_distinct(F.concat(F.transform(base, bare), outer)))
 
 
 def joined(spans: Column) -> Column:
@@ -219,29 +293,29 @@ def joined(spans: Column) -> Column:
 
 
 def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = stored(proposed(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "base", "proposals"), "spans")
-    trees = learned(spans)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = learned(docs)
+    spans = proposed(docs)
     of = lambda k: lambda x: x["k"] == k
     counts = [F.size(F.filter("base", of(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     base = F.sort_array(F.transform("base", lambda x: F.struct(*[x[c].alias(c) for c in "kse"])))
-    return spans.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(chosen(trees)).alias("spans"))
+    return spans.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(chosen(trees)).alias("spans"), F.size("proposals").alias("n_proposals"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every chosen span of text replaced by its kind in angle brackets; overlapping spans give one mark, of the first."""
     names = docs.columns
-    key = next(k for k in (f"spans_{i}" for i in range(len(names) + 1)) if not any(n.startswith(k) for n in names))
-    trees = learned(stored(proposed(docs.select("text")).select("base", "proposals"), "spans"))
-    x = proposed(docs, base=f"{key}_base", more=f"{key}_more")
-    x = x.withColumn(key, F.sort_array(F.transform(chosen(trees, f"{key}_base", f"{key}_more"), lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e"), s["k"].alias("k")))))
+    key, base, more, mark = free_names(docs, "spans", "base", "more", "mark")
+    x = proposed(docs, base=base, more=more)
+    x = x.withColumn(key, F.sort_array(F.transform(chosen(learned(docs.select("text")), base, more), lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e"), s["k"].alias("k")))))
     text, kinds = F.col("text"), F.lit(list(KINDS))
 
     def step(acc: Column, s: Column) -> Column:
-        mark = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["s"] - acc["at"]), F.lit("<"), F.get(kinds, s["k"]), F.lit(">"))
-        return F.struct(F.when(s["s"] >= acc["at"], mark).otherwise(acc["out"]).alias("out"), F.greatest(s["e"], acc["at"]).alias("at"))
+        marked = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["s"] - acc["at"]), F.lit("<"), F.get(kinds, s["k"]), F.lit(">"))
+        return F.struct(F.when(s["s"] >= acc["at"], marked).otherwise(acc["out"]).alias("out"), F.greatest(s["e"], acc["at"]).alias("at"))
 
     done = F.aggregate(key, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
-    x = x.withColumn(f"{key}_done", F.when(F.size(key) > 0, done))
-    d = F.col(f"{key}_done")
+    x = x.withColumn(mark, F.when(F.size(key) > 0, done))
+    d = F.col(mark)
     clean = F.when(F.size(key) > 0, F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text)))).otherwise(text)
     return x.select(*[clean.alias(n) if n == "text" else F.col(f"`{n}`") for n in names])
