@@ -5,7 +5,7 @@ lengths, Re-Pair rules, the expansion length of every rule, and the compressed s
 nonterminals, round by round; a round takes many pairs at once, whose first and second ids are disjoint sets, so that no two
 occurrences overlap. No pair crosses a document's end, so a document is a range of symbols, found by the sums of expansion lengths and decoded alone.
 
-Edge cases: null and empty texts are the end id alone; repeated ids are documents of their own, null ids come first; extra columns are ignored; an
+Edge cases: null and empty texts are the end id alone; repeated ids are documents of their own, in the order of a hash of their texts, null ids come first; extra columns are ignored; an
 empty table writes no shards.
 """
 
@@ -157,7 +157,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, shard: int = SHA
         if ids:
             yield row()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     return stored(ordered.mapInArrow(run, SCHEMA), "shards")
 
 

@@ -25,14 +25,18 @@ class Encoder:
 
     kind "word": the vocabulary drops white space, so pieces are cut at ASCII white space. kind "byte": white space belongs to the next word,
     so pieces are cut before a space that a letter, digit or ASCII sign follows. The library encodes each distinct piece once; the memo
-    has two generations of bounded size, and lives as long as the worker.
+    has two generations of bounded size, and lives as long as the worker. The library's defaults hold: the literal of a special token
+    in a text is that token, wherever it stands; texts with such a literal go to the library whole.
     """
 
     def __init__(self, path: str, kind: str, most: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind, self.most, self.young, self.old = kind, most, {}, {}
 
+    def normalised(self, text: str) -> str:
+        return text if self.tokenizer.normalizer is None else self.tokenizer.normalizer.normalize_str(text)
+
     @staticmethod
     def _bytes(text: str) -> list:
         parts = text.split(" ")
@@ -88,6 +92,9 @@ class Encoder:
         stems = pc.utf8_rtrim(lines, characters=SIGNS)
         cut = pc.and_(pc.utf8_is_alpha(pc.utf8_ltrim(stems, characters=" ")), pc.not_equal(pc.binary_length(stems), pc.binary_length(lines)))
         cut = cut.to_numpy(zero_copy_only=False) & ~uncut
+        for k in np.flatnonzero(cut & ~pc.string_is_ascii(stems).to_numpy(zero_copy_only=False)).tolist():
+            # normalised, a letter may end in a mark, which would join the signs
+            cut[k] = self.normalised(stems[k].as_py().lstrip(" ")).isalpha()
         at = np.flatnonzero(cut)
         tails = [x[n:] for x, n in zip(_strings(lines.take(pa.array(at))), pc.utf8_length(stems.take(pa.array(at))).to_numpy().tolist(), strict=True)]
         body = pc.if_else(pa.array(cut), stems, lines)
@@ -110,6 +117,12 @@ class Encoder:
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string()), "")
         if not len(texts):
             return []
+        special = functools.reduce(pc.or_, [pc.match_substring(texts, t) for t in self.special])
+        if pc.any(special).as_py():
+            out = self.encode(pc.if_else(special, "", texts))
+            for k in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+                out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return out
         parts = pc.split_pattern(texts, " ") if self.kind == "byte" else pc.ascii_split_whitespace(texts)
         ends = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
