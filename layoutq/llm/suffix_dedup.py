@@ -2,21 +2,21 @@
 
 Finding the strings. The window of ``LENGTH`` bytes at a position has an anchor, the leftmost of its k-grams with the least hash. It depends on the window's content
 alone, so equal windows have equal anchors, and windows of one anchor are a run of positions: a record. Records whose anchor occurs once can't repeat. Records with equal
-content (the bytes that their windows cover) are copies: all but the earliest go, by an aggregate that map sides combine. What differs
-inside one anchor's records is decided by a suffix array over their bytes; anchors with more than ``HEAVY`` contents are
-decided window by window instead, so no group is unbounded.
+content (the bytes that their windows cover, told apart by two 64-bit hashes) are copies: all but the earliest go, by an aggregate that map sides combine. What differs
+inside one anchor's records is decided by a suffix array over their bytes. An anchor with more than ``HOT`` contents is split: its windows
+are dealt by their bytes, which map sides combine too, so that no task gets a group that grows with the corpus.
 
-The array. Suffixes are grouped by their first symbol; groups are processed in descending order; each suffix finds its previous smaller one over pointers of
+The array. Suffixes are grouped by their first symbol, in buckets; groups are processed in descending order; each suffix finds its previous smaller one over pointers of
 groups already processed, and the pointed-at suffixes move to new groups behind their old ones, by how many pointers they got.
 The groups are then those of equal Lyndon prefixes, and one pass along the growing array puts each group in order. No names, no recursion.
 
-Edge cases: null and empty texts have no bytes (hash of nothing); matches never cross documents; ids order documents, a null id comes first, and
-rows that repeat an id are taken for one document; extra columns pass through ``deduplicated``; texts shorter than a window stay.
+Edge cases: null and empty texts have no bytes (hash of nothing); matches never cross documents; ids order documents, and null ids come first; rows that
+repeat an id, or have none, are documents of their own in the order of a hash of their texts, but rows with the same id and text are one document, whose result each of
+them gets; extra columns are ignored; texts shorter than a window stay.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import grouped, read, small_batches, stored
 
-LENGTH, GRAM, HEAVY = 100, 32, 16_384
+LENGTH, GRAM, HOT = 100, 32, 4096
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -107,7 +107,10 @@ def records(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
 def suffix_array(s: list[int]) -> list[int]:
     """Places of the suffixes of s in ascending order; the last symbol must be less than all others."""
     n = len(s)
-    order = sorted(range(n), key=s.__getitem__)
+    buckets: list[list[int]] = [[] for _ in range(max(s) + 1)]
+    for i, c in enumerate(s):
+        buckets[c].append(i)
+    order = [i for b in buckets for i in b]
     start, size, place = [0] * n, [0] * n, [0] * n
     at = 0
     for k, i in enumerate(order):
@@ -115,16 +118,24 @@ def suffix_array(s: list[int]) -> list[int]:
             at = k
         start[i], place[i] = at, k
         size[at] += 1
-    smaller = [-1] * n
+    smaller = [-2] * n  # -2: not known yet, -1: none
     end = n
     while end:
         low = start[order[end - 1]]
         pointers: dict[int, int] = {}
-        for i in sorted(order[low:end]):
-            p = i - 1
-            while p >= 0 and start[p] >= low:
-                p = smaller[p]
-            smaller[i] = p
+        for i in order[low:end]:
+            if smaller[i] == -2:
+                # members of this group on the way have the same previous smaller suffix
+                chain, p = [i], i - 1
+                while p >= 0 and start[p] >= low:
+                    if smaller[p] == -2:
+                        chain.append(p)
+                        p -= 1
+                    else:
+                        p = smaller[p]
+                for q in chain:
+                    smaller[q] = p
+            p = smaller[i]
             if p >= 0:
                 pointers[p] = pointers.get(p, 0) + 1
         by_count: dict[int, list[int]] = {}
@@ -231,7 +242,19 @@ def repeats(contents: list[bytes], doc: np.ndarray, pos: np.ndarray, length: int
     return tuple(np.array(c, dtype=np.int64) for c in zip(*out, strict=True)) if out else none
 
 
-def spans(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> DataFrame:
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text and doc, a number of the document in the order of ids: the id itself, unless ids repeat."""
+    least = F.lit(-(1 << 63))
+    x = docs.select(F.col("doc_id").cast("long"), "text").withColumn("doc", F.coalesce("doc_id", least))
+    if x.groupBy("doc").count().where("count > 1").isEmpty():
+        return x
+    own = x.withColumn("h", F.xxhash64("text"))
+    ordered = own.select("doc", "h").distinct().repartitionByRange("doc", "h").sortWithinPartitions("doc", "h")
+    ordered = stored(ordered.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    return own.join(ordered, ["doc", "h"]).select("doc_id", "text", F.col("number").alias("doc"))
+
+
+def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc, and the ranges (s, e) of bytes that go, from docs (doc long not null, text); ranges may overlap."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc", "text")
@@ -266,23 +289,23 @@ def spans(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> DataFram
     todo = firsts.join(many, "f").select("doc", F.struct("f", "kinds", *whole).alias("x")).groupBy("doc").agg(F.collect_list("x").alias("xs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes of each record; of heavy anchors each window by itself, as a digest."""
+        """The bytes of each record; of hot anchors those of each window by itself."""
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
             for doc, text, xs in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 data = text.encode("utf-8", "replace")
                 for x in xs:
-                    if x["kinds"] > heavy:
+                    if x["kinds"] > hot:
                         for s in range(x["s"], x["e"] - length + 1):
-                            for col, v in zip(out, (x["f"], True, doc, s, hashlib.blake2b(data[s : s + length], digest_size=16).digest()), strict=True):
+                            for col, v in zip(out, (x["f"], True, doc, s, data[s : s + length]), strict=True):
                                 col.append(v)
                     else:
                         for col, v in zip(out, (x["f"], False, doc, x["s"], data[x["s"] : x["e"]]), strict=True):
                             col.append(v)
             kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["f", "heavy", "doc", "s", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["f", "window", "doc", "s", "bytes"])
 
-    parts = stored(docs.where("text is not null").join(todo, "doc").select("doc", "text", "xs").mapInArrow(cut, "f long, heavy boolean, doc long, s long, bytes binary"), "parts")
+    parts = stored(docs.where("text is not null").join(todo, "doc").select("doc", "text", "xs").mapInArrow(cut, "f long, window boolean, doc long, s long, bytes binary"), "parts")
 
     def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -300,17 +323,16 @@ def spans(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> DataFram
         if held:
             yield done()
 
-    light = parts.where("not heavy").repartition("f").sortWithinPartitions("f").select("f", "doc", "s", "bytes").mapInArrow(sorted_out, "doc long, s long, e long")
-    hot = parts.where("heavy")
-    least = hot.groupBy("f", "bytes").agg(F.min(F.struct("doc", "s")).alias("x"), F.count("*").alias("n")).where("n > 1").select("f", "bytes", F.col("x.doc").alias("d0"), F.col("x.s").alias("s0"))
-    hot = hot.join(least, ["f", "bytes"]).where("doc <> d0 or s <> s0").select("doc", "s", (F.col("s") + length).alias("e"))
-    return copies.unionByName(light).unionByName(hot)
+    light = parts.where("not window").repartition("f").sortWithinPartitions("f").select("f", "doc", "s", "bytes").mapInArrow(sorted_out, "doc long, s long, e long")
+    windows = parts.where("window")
+    least = windows.groupBy("f", "bytes").agg(F.min(F.struct("doc", "s")).alias("x"), F.count("*").alias("n")).where("n > 1").select("f", "bytes", F.col("x.doc").alias("d0"), F.col("x.s").alias("s0"))
+    windows = windows.join(least, ["f", "bytes"]).where("doc <> d0 or s <> s0").select("doc", "s", (F.col("s") + length).alias("e"))
+    return copies.unionByName(light).unionByName(windows)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs (doc_id, text) to doc_id, the text without repeated strings (as bytes), n_bytes, n_removed, n_spans."""
-    least = F.lit(-(1 << 63))
-    keyed = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), least))
+    keyed = numbered(docs)
     found = spans(keyed, length).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("xs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +352,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     col.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.binary()), *[pa.array(c, pa.int64()) for c in out[1:]]], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    x = keyed.select("doc", "doc_id", "text").join(found, "doc", "left").select(F.col("doc_id").cast("long"), "text", "xs")
+    x = keyed.join(found, "doc", "left").select("doc_id", "text", "xs")
     return x.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
