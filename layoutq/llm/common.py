@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters outside this class: [^\x20\x09-\x0D]+
@@ -61,6 +61,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
+def sums_before(df: DataFrame, keys: list[str], order: str, value: str, into: str, step: int = 4096) -> DataFrame:
+    """df with the sum of value over the rows of the same keys (nulls are equal) whose order, a number from 0, is less. Two levels, so that no
+    task gets more rows of a key than ``step``, or a step-th of them."""
+    top, base = free_names(df, "top", "base")
+    x = df.withColumn(top, F.floor(F.col(order) / step))
+    sums = x.groupBy(*keys, top).agg(F.sum(value).alias(base))
+    before = lambda by, o: Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn(base, F.coalesce(F.sum(base).over(before(keys, top)), F.lit(0)))
+    y = sums.select(*[F.col(k).alias(f"{top}_{i}") for i, k in enumerate([*keys, top])], base)
+    on = [F.col(k).eqNullSafe(F.col(f"{top}_{i}")) for i, k in enumerate([*keys, top])]
+    x = x.withColumn(into, F.coalesce(F.sum(value).over(before([*keys, top], order)), F.lit(0)))
+    return x.join(y, on).withColumn(into, F.col(into) + F.col(base)).select(*df.columns, into)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of an edge reaches. Rounds of large and small stars; hot nodes are
     pre-aggregated to their minimum before the join, which adaptive execution may split; each round is checkpointed."""

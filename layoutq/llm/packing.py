@@ -2,7 +2,7 @@
 
 What matters of a piece is its length, so bins are planned on the histogram of lengths, which has one row per length whatever the corpus: lengths descend, and each goes to the
 class of equally filled bins whose remaining tokens, documents and attention cost (the sum of squared lengths) are left nearest to nothing, by weighted norm, among
-those that satisfy every constraint. Pieces then find their bin by their rank among equal lengths; ranks are sums over salted groups,
+those that satisfy every constraint. Pieces then find their bin by their rank among equal lengths; ranks are sums over salted groups, in two levels,
 so that a hot length is many small groups. The whole corpus is packed as one, with the waste of one best-fit run.
 
 Edge cases: null and empty texts are one piece with the end id; longer documents than a sequence are cut into full pieces, only the first may be
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, stored
+from .common import read, small_batches, stored, sums_before
 from .tokens import encoder, vocabulary
 
 CAPACITY, END, WEIGHTS = 2048, 0, (1.0, 0.05, 0.05)
@@ -116,8 +116,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     plan = Plan(counts, capacity, most_documents, most_cost)
     salts = max(1, -(-max(counts.values(), default=1) // 256))
     p = p.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(salts)))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = p.groupBy("length", "salt").agg(F.count("*").alias("c")).withColumn("base", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
+    base = sums_before(p.groupBy("length", "salt").agg(F.count("*").alias("c")), ["length"], "salt", "c", "base").drop("c")
     p = p.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row", "piece")) - 1)
     p = p.join(base, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
 

@@ -4,23 +4,26 @@ Targets: sources in code point order, null last, weigh 5, 2, 1, repeating, and s
 ``most`` times its source, and what it can't take is shared again by weight. That fixed point has a closed form over the sources
 sorted by size / weight, so it is two windows over one row per source.
 
-Draw: a keyed permutation (a hash of id and seed) orders the documents of a source; equal slices of the hash range are its blocks.
+Draw: a keyed permutation (a hash of seed, id and text) orders the documents of a source; equal slices of the hash range are its blocks.
 Whole blocks fill the quota in permuted order; in the block where it ends documents fill it one by one, and one more document, the
 one whose size comes nearest to what is left, may follow. Blocks are bounded, so a hot source is many groups, never one.
 ``shards`` deals the drawn blocks to output shards with a splitting tree: at each node the blocks of each source are split
 hypergeometrically, without replacement, so that all shards have exact integer quotas of every source.
 
 Edge cases: null and empty texts have size 0 and are never drawn; sources without words have target 0; a null source is a source
-of its own; equal sizes and repeated rows are ordered by hash, then id; an empty table gives an empty result. Reruns agree.
+of its own; equal sizes are ordered by hash, then id; rows that repeat an id are drawn each for itself, but rows of the same id, source and text are all taken
+equally often; extra columns, whatever their names, pass through ``mixed_documents``; an empty table gives an empty result. Reruns agree.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, stored, words
+from .common import free_names, read, stored, sums_before, words
 
 WEIGHTS, SHARE, MOST, BLOCK, SHARDS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 2048, 16, 7
 
@@ -62,21 +65,20 @@ def split_quotas(blocks: list[int], shards: int, seed: int = SEED) -> np.ndarray
 def mixed(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
     """docs (doc_id, text, source) to doc_id, source, size, source_size, target, h, times and shards: how often the mix takes the
     document, and the output shard of each of these copies. One row per source comes to the driver, for the splitting tree."""
-    d = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
-    d = stored(d.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"))), "sizes")
+    d = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
+    d = stored(d, "sizes")
     stats = targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     stats = stats.withColumn("blocks", F.ceil(F.col("n") / F.lit(float(block)))).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     stats = stats.withColumn("quota", F.col("target") - F.col("epochs") * F.col("source_size"))
     d = d.alias("d").join(stats.alias("s"), F.expr("d.source <=> s.source")).select("d.*", "source_size", "target", "blocks", "epochs", "quota")
     d = d.withColumn("block", F.least(F.floor((F.col("h").cast("double") / F.lit(2.0**64) + 0.5) * F.col("blocks")), F.col("blocks") - 1))
     sums = d.groupBy("source", "block", "quota", "blocks", "epochs").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = stored(sums.withColumn("until", F.sum("words").over(before)), "blocks")
+    sums = stored(sums_before(sums, ["source"], "block", "words", "until").withColumn("until", F.col("until") + F.col("words")), "blocks")
     drawn = sums.groupBy("source").agg((F.first("epochs") * F.first("blocks") + F.max(F.when(F.col("until") - F.col("words") < F.col("quota"), F.col("block") + 1).otherwise(0))).alias("drawn"))
     drawn = drawn.orderBy(F.col("source").asc_nulls_last()).collect()
     ends = np.cumsum(split_quotas([r["drawn"] for r in drawn], shards, seed), axis=0)
-    bounds = F.array(*[F.struct(F.lit(r["source"]).cast("string").alias("source"), F.lit([int(v) for v in ends[:-1, i]] or [0]).cast("array<bigint>").alias("ends")) for i, r in enumerate(drawn)]) if drawn else F.array().cast("array<struct<source:string,ends:array<bigint>>>")
-    bounds = docs.sparkSession.range(1).select(F.inline(bounds))
+    told = json.dumps([{"source": r["source"], "ends": [int(v) for v in ends[:-1, i]] or [0]} for i, r in enumerate(drawn)])
+    bounds = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(told), "array<struct<source:string,ends:array<bigint>>>")))
     sums = sums.alias("b").join(bounds.alias("e"), F.expr("b.source <=> e.source")).select("b.source", "block", "words", "until", "ends")
     d = d.alias("d").join(sums.alias("b"), F.expr("d.source <=> b.source and d.block = b.block")).select("d.*", "words", "until", "ends")
     whole, cut = F.col("until") <= F.col("quota"), (F.col("until") > F.col("quota")) & (F.col("until") - F.col("words") < F.col("quota"))
@@ -87,9 +89,9 @@ def mixed(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shards: int = S
     inside = inside.withColumn("fold", fold).select("source", F.col("fold.left").alias("left"), F.inline(F.arrays_zip(F.col("all"), F.col("fold.taken").alias("taken"))).alias("x", "taken"))
     off = F.when(~F.col("taken") & (F.abs(F.col("x.size") - F.col("left")) < F.col("left")), F.abs(F.col("x.size") - F.col("left")))
     nearest = F.row_number().over(Window.partitionBy("source").orderBy(off.asc_nulls_last(), "x.h", "x.doc_id"))
-    inside = inside.select("source", F.col("x.doc_id").alias("doc_id"), (F.col("taken") | (off.isNotNull() & (nearest == 1))).cast("long").alias("more"))
-    inside = inside.groupBy("source", "doc_id").agg(F.max("more").alias("more"))
-    last = d.where(cut).alias("d").join(inside.alias("i"), F.expr("d.source <=> i.source and d.doc_id <=> i.doc_id")).select("d.*", "more")
+    inside = inside.select("source", F.col("x.h").alias("h"), F.col("x.doc_id").alias("doc_id"), (F.col("taken") | (off.isNotNull() & (nearest == 1))).cast("long").alias("more"))
+    inside = inside.groupBy("source", "h", "doc_id").agg(F.max("more").alias("more"))
+    last = d.where(cut).alias("d").join(inside.alias("i"), F.expr("d.source <=> i.source and d.h = i.h and d.doc_id <=> i.doc_id")).select("d.*", "more")
     out = ["doc_id", "source", "size", "source_size", "target", "h", "block", "blocks", "ends", F.when(F.col("size") > 0, F.col("epochs") + F.col("more")).otherwise(0).cast("long").alias("times")]
     both = done.select(*out).unionByName(last.select(*out))
     shard = F.when(F.col("times") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("times") - 1), lambda c: F.size(F.filter(F.col("ends"), lambda e: e <= c * F.col("blocks") + F.col("block"))))).otherwise(F.array().cast("array<int>"))
@@ -97,11 +99,13 @@ def mixed(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shards: int = S
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each copy, dealt to its output shard and shuffled there. Ids are keys of docs."""
-    m = mixed(docs, seed, shards=shards).where("times > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__id"), F.posexplode("shards").alias("__copy", "__shard"))
+    """The mix itself, with the columns of docs: a row for each copy, dealt to its output shard and shuffled there."""
+    own, source, key, copy, shard = free_names(docs, "own", "from", "key", "copy", "shard")
+    m = mixed(docs, seed, shards=shards).where("times > 0").dropDuplicates(["h", "doc_id", "source"])
+    m = m.select(F.col("doc_id").alias(own), F.col("source").alias(source), F.col("h").alias(key), F.posexplode("shards").alias(copy, shard))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    x = docs.join(m, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return x.repartition(F.col("__shard"), F.pmod(F.xxhash64("__id"), F.lit(8))).sortWithinPartitions("__shard", F.xxhash64(F.lit(seed), "__id", "__copy")).select(*names)
+    x = docs.join(m, (F.xxhash64(F.lit(seed), "doc_id", "text") == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(own)) & F.col("source").eqNullSafe(F.col(source)))
+    return x.repartition(F.col(shard), F.pmod(F.col(key), F.lit(8))).sortWithinPartitions(shard, F.xxhash64(F.lit(seed), key, copy)).select(*names)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
