@@ -3,14 +3,36 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, checkpointed to the folder that the session names in spark.checkpoint.dir; to one of our own only if it names none."""
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Where it names none, a session in one process (tests) gets a
+    temporary one; on a cluster that is an error, as executors elsewhere couldn't read it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|\Z)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
+        spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, checkpointed to the shared folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again; with ``by`` rows of a key lie together, in order."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    (df.repartition(*by).sortWithinPartitions(*by) if by else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
