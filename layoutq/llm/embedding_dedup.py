@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, grouped, read, roots, stored
+from .common import components, discard, grouped, read, roots, stored
 
 THRESHOLD, TILE, SAMPLE, STEP = 0.98, 1024, 4096, 16
 
@@ -90,18 +90,19 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, s
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The cell of each vector on the first principal direction."""
         for b in batches:
-            out = []
-            for row in b.column(0).to_pylist():
-                x = np.array(row, dtype=float)
-                d = len(x)
+            rows = b.column(0)
+            sizes, out = np.diff(rows.offsets.to_numpy()), np.zeros(b.num_rows, dtype=np.int32)
+            for d in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == d)
+                x = _matrix(rows.take(pa.array(at)))
                 # scaled first, so that huge or tiny components neither overflow nor vanish
-                x /= np.abs(x).max()
+                x = x / np.abs(x).max(axis=1, keepdims=True)
                 lead = basis[d][:, 0] if d in basis else np.eye(1, d)[0]
-                out.append(math.floor(float(x @ lead) / float(np.linalg.norm(x)) / width))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], b.column(0), pa.array(out, pa.int32())], names=["label", "rep", "n", "v", "cell"])
+                out[at] = np.floor((x @ lead) / np.linalg.norm(x, axis=1) / width)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], rows, pa.array(out)], names=["label", "rep", "n", "v", "cell"])
 
     kind = reps.schema["label"].dataType.simpleString()
-    r = stored(reps.select("v", "label", "rep", "n").mapInArrow(first, f"label {kind}, rep long, n long, v array<double>, cell int").withColumn("d", F.size("v")), "cells")
+    r = cells = stored(reps.select("v", "label", "rep", "n").mapInArrow(first, f"label {kind}, rep long, n long, v array<double>, cell int").withColumn("d", F.size("v")), "cells")
     full = r.groupBy("label", "d", "cell").agg(F.ceil(F.count("*") / F.lit(float(tile))).cast("int").alias("blocks"))
     beside = full.select("label", "d", (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("above"))
     below = full.select("label", "d", (F.col("cell") + 1).alias("cell"), F.col("blocks").alias("below"))
@@ -130,6 +131,7 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, s
                 yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(links[at].astype(np.int64)), pa.array(low[at])], names=["rep", "links", "low"])
 
     links = stored(tiles.mapInArrow(compared, "rep long, links long, low long"), "links")
+    discard(cells)
     groups = components(links, "rep", "low")
     total = links.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = reps.join(total, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")

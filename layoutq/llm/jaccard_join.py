@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_rows, components, free_names, grouped, read, roots, small_batches, stored
+from .common import binary_rows, components, discard, free_names, grouped, read, roots, small_batches, stored
 
 THRESHOLD, WORDS, TREES, DEEPEST, TARGET, MISSES, TILE = 0.8, 5, 20, 8, 0.99995, 0.005, 512
 #: Lengths of prefixes, from the longest. The first four labels of a tree have 16 bits and fill a long (path), the others 8 bits and fill an int (deep).
@@ -235,10 +235,12 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, ta
         links.append(stored(dealt(told).mapInArrow(verified, "node long, links long, low long, bins array<long>"), "links"))
         for r in links[-1].where("bins is not null").select(F.posexplode("bins").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect():  # a row per bin
             hist[r["bin"]] += r["n"]
+        discard(met, needed)
         if met_share(threshold, depth, trees) >= target or missing(hist, depth, trees, threshold) <= misses:
             break
         before = depth
 
+    discard(crowd, *sets)
     links = reduce(DataFrame.unionByName, links)
     groups = components(links, "node", "low").withColumnRenamed("component", "root")
     total = links.groupBy("node").agg(F.sum("links").alias("links"))

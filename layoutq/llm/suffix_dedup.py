@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import grouped, read, small_batches, stored
+from .common import discard, grouped, read, small_batches, stored
 
 LENGTH, GRAM, HOT = 100, 32, 4096
 _RNG = np.random.default_rng(20)
@@ -279,7 +279,9 @@ def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
 
     # p packs the anchor's place and, in seven bits each, how far before it the first window starts and how many follow
     shared = docs.mapInArrow(lambda b: anchored(b, False), "f long").groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
-    r = stored(docs.mapInArrow(lambda b: anchored(b, True), "f long, c long, doc long, p long").join(stored(shared, "anchors"), "f"), "records")
+    shared = stored(shared, "anchors")
+    r = stored(docs.mapInArrow(lambda b: anchored(b, True), "f long, c long, doc long, p long").join(shared, "f"), "records")
+    discard(shared)
     firsts = stored(r.groupBy("f", "c").agg(F.min(F.struct("doc", "p")).alias("x"), F.count("*").alias("n")).select("f", "c", "x.doc", "x.p", "n"), "contents")
     begin = F.shiftright("p", 14) - F.shiftright("p", 7).bitwiseAND(F.lit(127))
     whole = [begin.alias("s"), (begin + F.col("p").bitwiseAND(F.lit(127)) + length).alias("e")]
