@@ -58,10 +58,10 @@ def scalar(name: str, table: str, key: str, column: Callable[[], F.Column], sql:
     query(name, sql and f"SELECT {key}, round(CAST({sql} AS DOUBLE), 6) AS score FROM {table}")(lambda spark, d: layouts.read(spark, d, table).select(*key.split(", "), F.round(column().cast("double"), 6).alias("score")))
 
 
-def as_entity(text: F.Column, type_: str = "Text") -> ir.Entity:
+def as_entity(text: F.Column, type_: str | F.Column = "Text", lines: F.Column | None = None) -> ir.Entity:
     """A lone entity around a text, for predicates outside documents."""
     zero = F.lit(0.0)
-    return ir.Entity(F.struct(F.lit(0).alias("entity_id"), F.lit(type_).alias("type"), text.alias("text"), *[zero.alias(c) for c in ("x0", "x1", "y0", "y1")], F.array().cast("array<bigint>").alias("word_ids"), F.size(F.split(text, " ")).alias("n_words"), F.lit(1).alias("line_count"), F.lit(1.0).alias("maximality"), F.lit(None).cast("double").alias("likeness"), F.lit(None).cast("double").alias("value")))
+    return ir.Entity(F.struct(F.lit(0).alias("entity_id"), F.lit(type_).alias("type"), text.alias("text"), *[zero.alias(c) for c in ("x0", "x1", "y0", "y1")], F.array().cast("array<bigint>").alias("word_ids"), F.size(F.split(text, " ")).alias("n_words"), (F.lit(1) if lines is None else lines).alias("line_count"), F.lit(1.0).alias("maximality"), F.lit(None).cast("double").alias("likeness"), F.lit(None).cast("double").alias("value")))
 
 
 def on(p: ir.Predicate, *columns: str) -> Callable[[], F.Column]:
@@ -77,23 +77,58 @@ def count_sql(c: str, chars: str) -> str:
     return f"(length({c}) - length(translate({c}, '{chars}', '')))"
 
 
+def substring_sql(text: str, part: str) -> str:
+    """Least edits to a substring of a text, by trying all of them."""
+    return f"least({len(part)}, (SELECT min(levenshtein(substr(t, i, k), '{part}')) FROM (SELECT {text} AS t), range(1, {2 * len(part)} + 1) AS a(k), range(1, 41) AS b(i) WHERE i + k - 1 <= length(t)))"
+
+
 scalar("text_equals", "nation", "n_nationkey", on(predicates.text_equals("GERMANI", 1, 2), "n_name"), text_sql("n_name", "GERMANI", 1, 2))
 scalar("text_is_one_of", "customer", "c_custkey", on(predicates.text_is_one_of(["BUILDING", "MACHINERY"]), "c_mktsegment"), f"greatest({text_sql('c_mktsegment', 'BUILDING', 1, 1)}, {text_sql('c_mktsegment', 'MACHINERY', 1, 1)})")
-scalar("text_has_substring", "part", "p_partkey", on(predicates.text_has_substring("BRASS", 0, 4), "p_type"), None)
+scalar("text_has_substring", "part", "p_partkey", on(predicates.text_has_substring("BRASS", 0, 4), "p_type"), f"1 - {substring_sql('upper(p_type)', 'BRASS')} / 5.0")
+scalar("text_has_substring_massaged", "part", "p_partkey", on(predicates.text_has_substring("Small b-1", 1, None, kernels.NO_WHITESPACE | kernels.ALPHABETICAL), "p_type"), f"1 - least(1, greatest(0, {substring_sql("regexp_replace(upper(p_type), '[^A-Z]', '', 'g')", 'SMALLB')} - 1) / 5.5)")
 scalar("text_does_not_contain_substring", "part", "p_partkey", on(predicates.text_does_not_contain_substring("BRASS"), "p_type"), "CASE WHEN contains(upper(p_type), 'BRASS') THEN 0 ELSE 1 END")
 scalar("text_matches_pattern", "customer", "c_custkey", on(predicates.text_matches_pattern("Customer#999999999", {"9": "0123456789"}, 0, 0), "c_name"), "CASE WHEN regexp_full_match(c_name, 'Customer#[0-9]{9}') THEN 1 ELSE 0 END")
-scalar("text_properties", "part", "p_partkey", on(predicates.text_properties_are(0, 9, at_most=12, min_counts={"AEIOU": 3}), "p_type"), f"CASE WHEN greatest(0, length(p_type) - 12) + greatest(0, 3 - {count_sql('p_type', 'AEIOU')}) = 0 THEN 1 ELSE 1 - least(1, (greatest(0, length(p_type) - 12) + greatest(0, 3 - {count_sql('p_type', 'AEIOU')})) / 10.0) END")
+scalar("text_properties", "part", "p_partkey", on(predicates.text_properties_are(length={"at_most": 12}, min_char_counts=[{"chars": "AEIOU", "count": 3}], tolerance=0, taper=9), "p_type"), f"CASE WHEN greatest(0, length(p_type) - 12) + greatest(0, 3 - {count_sql('p_type', 'AEIOU')}) = 0 THEN 1 ELSE 1 - least(1, (greatest(0, length(p_type) - 12) + greatest(0, 3 - {count_sql('p_type', 'AEIOU')})) / 10.0) END")
+scalar("text_properties_by_share", "part", "p_partkey", on(predicates.text_properties_are(length={"at_least": 18}, legal_chars="ABCDEFGHIJKLMNOPQRSTUVWXYZ", min_char_proportions=[{"chars": "AEIOU", "proportion": 0.4}], max_char_proportions=[{"chars": "LNR", "proportion": 0.1}], tolerance=1), "p_type"), f"1 - least(1, greatest(0, greatest(0, 18 - length(p_type)) + length(regexp_replace(p_type, '[A-Z]', '', 'g')) + greatest(0, 0.4 * length(p_type) - {count_sql('p_type', 'AEIOU')}) + greatest(0, {count_sql('p_type', 'LNR')} - 0.1 * length(p_type)) - 1) / (floor(length(p_type) / 2) + 1))")
+scalar("text_properties_without_taper", "part", "p_partkey", on(predicates.text_properties_are(max_char_proportions=[{"chars": "EO", "proportion": 0.11}], tolerance=0, taper=0), "p_type"), f"CASE WHEN {count_sql('p_type', 'EO')} > 0.11 * length(p_type) THEN 0 ELSE 1 END")
 scalar("word_count_is", "part", "p_partkey", on(predicates.word_count_is({1: 0.0, 2: 0.5, 4: 1.0}), "p_name"), "CASE WHEN len(string_split(p_name, ' ')) <= 1 THEN 0 WHEN len(string_split(p_name, ' ')) = 2 THEN 0.5 WHEN len(string_split(p_name, ' ')) = 3 THEN 0.75 ELSE 1 END")
-scalar("line_count_is", "nation", "n_nationkey", on(predicates.is_one_line, "n_name"), "1")
+scalar("line_count_is", "part", "p_partkey", lambda: predicates.line_count_is({1: 0.0, 10: 1.0, 20: 0.5}).score(ir.Context(), as_entity(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, "Address").otherwise("Text"), F.col("p_size"))), "CASE WHEN p_size % 2 = 1 OR p_size <= 1 THEN 0 WHEN p_size <= 10 THEN (p_size - 1) / 9.0 WHEN p_size <= 20 THEN 1 - (p_size - 10) * 0.05 ELSE 0.5 END")
 scalar("have_unequal_text", "customer", "c_custkey", on(spatial.have_unequal_text(), "c_name", "c_mktsegment"), "CASE WHEN c_name = c_mktsegment THEN 0 ELSE 1 END")
 scalar("strings_are_disjoint", "part", "p_partkey", on(spatial.entity_strings_are_disjoint(), "p_name", "p_type"), "CASE WHEN len(list_intersect(string_split(p_name, ' '), string_split(p_type, ' '))) > 0 THEN 0 ELSE 1 END")
 scalar("relative_edit_distance", "nation", "n_nationkey", lambda: kernels.relative_edit_distance(F.col("n_name"), F.lit("FRANCE")), "levenshtein(n_name, 'FRANCE') / greatest(length(n_name), 6.0)")
-scalar("substring_distance", "nation", "n_nationkey", lambda: kernels.substring_distance(F.col("n_name"), "AN"), None)
-scalar("pattern_distance", "nation", "n_nationkey", lambda: kernels.pattern_distance(F.col("n_name"), "XXXXX", {"X": "AEIOUNRT"}), None)
+scalar("substring_distance", "nation", "n_nationkey", lambda: kernels.substring_distance(F.col("n_name"), "AND"), substring_sql("n_name", "AND"))
+scalar("pattern_distance", "nation", "n_nationkey", lambda: kernels.pattern_distance(F.col("n_name"), "XXXXX", {"X": "AEIOUNRT"}), "levenshtein(translate(replace(n_name, 'X', '#'), 'AEIOUNRT', 'XXXXXXXX'), 'XXXXX')")
 scalar("count_score", "part", "p_partkey", lambda: kernels.count_score({1: 0.0, 20: 0.5, 40: 1.0}, F.col("p_size")), "CASE WHEN p_size <= 1 THEN 0 WHEN p_size <= 20 THEN (p_size - 1) * (0.5 / 19) WHEN p_size <= 40 THEN 0.5 + (p_size - 20) * 0.025 ELSE 1 END")
-scalar("dates", "orders", "o_orderkey", lambda: kernels.date_likeness(F.date_format("o_orderdate", "yyyy-MM-dd")), "1.0")
-scalar("dates_of_words", "region", "r_regionkey", lambda: kernels.date_likeness(F.col("r_name")), None)
-scalar("dollars", "lineitem", "l_orderkey, l_linenumber", lambda: kernels.dollar_likeness(F.format_string("%.2f", "l_extendedprice")), "1.0")
+#: Dates in several shapes, and texts that only look a little like one.
+_DATE_TEXT = lambda: F.when(F.col("o_orderkey") % 6 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 6 == 1, F.date_format("o_orderdate", "MMM d, yyyy")).when(F.col("o_orderkey") % 6 == 2, F.date_format("o_orderdate", "dd.MM.yy")).when(F.col("o_orderkey") % 6 == 3, F.concat(F.lit("SEPT "), F.date_format("o_orderdate", "dd"))).when(F.col("o_orderkey") % 6 == 4, F.col("o_orderkey").cast("string")).otherwise(F.concat(F.date_format("o_orderdate", "MMMM yyyy"), F.lit(" on the "), F.date_format("o_orderdate", "d")))
+_DATE_TEXT_SQL = "CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%b %-d, %Y') WHEN 2 THEN strftime(o_orderdate, '%d.%m.%y') WHEN 3 THEN 'SEPT ' || strftime(o_orderdate, '%d') WHEN 4 THEN CAST(o_orderkey AS VARCHAR) ELSE strftime(o_orderdate, '%B %Y') || ' on the ' || strftime(o_orderdate, '%-d') END"
+
+
+def date_sql(text: str) -> str:
+    """Likeness to a date by the shape of a text."""
+    t = f"regexp_replace(regexp_replace(upper({text}), '{'|'.join(kernels.MONTHS)}', 'JAN', 'g'), '[0-9]', '9', 'g')"
+    t = f"regexp_replace(translate(regexp_replace(replace({t}, '/', '-'), '9[.]9', '9-9', 'g'), '.,', '  '), '^(.*)9999', '\\1' || '99')"
+    t = f"regexp_replace(trim({t}), '\\s+', '-', 'g')"
+    best = "least(" + ", ".join(f"levenshtein(shape, '{d}') / greatest(length(shape), {len(d)}.0)" for d in kernels.DATES) + ")"
+    return f"CASE WHEN length({text}) > 20 THEN 0 ELSE (SELECT 1 - {best} FROM (SELECT {t} AS shape)) END"
+
+
+def dollar_sql(text: str) -> str:
+    """Likeness to an amount with cents."""
+    legal, core = "length(regexp_replace(t, '[^0-9,. $*]', '', 'g'))", "regexp_replace(regexp_replace(t, '^[^0-9,. $*]+', ''), '[^0-9,. $*]+$', '')"
+    digits, symbols, seps = (f"length(regexp_replace(t, '[^{c}]', '', 'g'))" for c in ("0-9", "$", ",. "))
+    wrong = "CASE WHEN regexp_matches(core, '[0-9]$') THEN 0 ELSE 1 END + CASE WHEN regexp_matches(core, '[0-9].$') THEN 0 ELSE 1 END + CASE WHEN regexp_matches(core, '[,. ]..$') THEN 0 ELSE 1 END"
+    error = f"length(t) - legal + greatest(0, 3 - digits) + greatest(0, seps - floor(0.25 * (legal - symbols))) + greatest(0, symbols - 1) + length(t) - length(core) + {wrong}"
+    return f"(SELECT CASE WHEN t = '.00' THEN 1 WHEN length(t) > 15 OR length(t) < 3 OR digits > 14 THEN 0 WHEN {error} = 0 THEN 1 ELSE 1 - least(1, ({error}) / (0.5 * length(core))) END FROM (SELECT t, {legal} AS legal, {core} AS core, {digits} AS digits, {symbols} AS symbols, {seps} AS seps FROM (SELECT {text} AS t)))"
+
+
+_MONEY_TEXT = lambda: F.element_at(F.array(F.format_string("%.2f", "l_extendedprice"), F.format_string("$%.2f", "l_extendedprice"), F.format_string("***%.2f", "l_quantity"), F.format_string("$$ %.1f", "l_extendedprice"), F.format_string("%d,%03d.%02d", F.col("l_linenumber"), F.col("l_suppkey") % 1000, F.col("l_partkey") % 100), F.concat(F.lit("no "), F.col("l_returnflag")), F.format_string("*%d*", F.col("l_partkey")), F.format_string("x%.2f (net)", "l_quantity")), (F.col("l_orderkey") % 8 + 1).cast("int"))
+_MONEY_TEXT_SQL = "[printf('%.2f', l_extendedprice), printf('$%.2f', l_extendedprice), printf('***%.2f', l_quantity), printf('$$ %.1f', l_extendedprice), printf('%d,%03d.%02d', l_linenumber, l_suppkey % 1000, l_partkey % 100), 'no ' || l_returnflag, printf('*%d*', l_partkey), printf('x%.2f (net)', l_quantity)][l_orderkey % 8 + 1]"
+scalar("dates", "orders", "o_orderkey", lambda: kernels.date_likeness(_DATE_TEXT()), date_sql(_DATE_TEXT_SQL))
+scalar("dates_of_words", "customer", "c_custkey", lambda: kernels.date_likeness(F.concat(F.substring("c_mktsegment", 1, 3), F.lit("/"), F.substring("c_name", -4, 2), F.lit("."), F.substring("c_name", -2, 2))), date_sql("substr(c_mktsegment, 1, 3) || '/' || substr(c_name, -4, 2) || '.' || substr(c_name, -2, 2)"))
+scalar("dollars", "lineitem", "l_orderkey, l_linenumber", lambda: kernels.dollar_likeness(_MONEY_TEXT()), dollar_sql(_MONEY_TEXT_SQL))
+_CENTS = "CAST(CAST(round(c_acctbal) AS BIGINT) % CAST(10 ** (1 + c_custkey % 5) AS BIGINT) AS VARCHAR)"
+scalar("numeric_parse_dollar", "customer", "c_custkey", lambda: kernels.parsed_number(F.expr("cast(cast(round(c_acctbal) as bigint) % cast(power(10, 1 + c_custkey % 5) as bigint) as string)"), force_dollar_decimal=True), f"CASE WHEN length({_CENTS}) > 2 THEN CAST(regexp_replace({_CENTS}, '(..)$', '.\\1') AS DOUBLE) ELSE CAST({_CENTS} AS DOUBLE) END")
 scalar("numeric_parse", "customer", "c_custkey", lambda: kernels.parsed_number(F.format_string("%.2f", "c_acctbal"), period_as_delimiter=True), "CAST(printf('%.2f', c_acctbal) AS DOUBLE)")
 scalar("numeric_parse_cents", "customer", "c_custkey", lambda: kernels.parsed_number(F.format_string("%.2f", "c_acctbal")), "CAST(replace(printf('%.2f', c_acctbal), '.', '') AS DOUBLE)")
 
@@ -147,9 +182,9 @@ _AT = {k: v.replace("{}", "{0}") for k, v in _MID.items()}
 for _side, _sql in _AT.items():
     pair(f"aligned_{_side.lower()}", "Price", lambda side=_side: spatial.are_aligned(side, 1.0, 2.0), taper_sql(f"abs({_sql.format('a')} - {_sql.format('b')})", 1, 2))
 for _direction, _gap in (("LEFT_TO_RIGHT", "b.x0 - a.x1"), ("RIGHT_TO_LEFT", "a.x0 - b.x1"), ("TOP_DOWN", "b.y0 - a.y1"), ("BOTTOM_UP", "a.y0 - b.y1")):
-    pair(f"arranged_{_direction.lower()}", "Price", lambda direction=_direction: spatial.are_arranged(direction, 1.0, 1.0, 3.0), taper_sql(f"greatest(0, 1 - ({_gap}), ({_gap}) - 3)", 0, 1))
+    pair(f"arranged_{_direction.lower()}", "Price", lambda direction=_direction: spatial.are_arranged(direction, 4.0, 1.0, 8.0), taper_sql(f"greatest(0, 1 - ({_gap}), ({_gap}) - 8)", 0, 4))
 pair("arranged_without_maximum", "Total:", lambda: spatial.are_arranged("LEFT_TO_RIGHT"), taper_sql("greatest(0, -(b.x0 - a.x1))", 0, 1))
-pair("one_line_above", "Price", spatial.one_line_above, taper_sql("greatest(0, -(b.y0 - a.y1), (b.y0 - a.y1) - 0.5)", 0, 0.5))
+pair("one_line_above", "Date:", spatial.one_line_above, taper_sql("greatest(0, -(b.y0 - a.y1), (b.y0 - a.y1) - 0.5)", 0, 0.5))
 pair("one_to_two_lines_above", "Price", spatial.one_to_two_lines_above, taper_sql("greatest(0, -(b.y0 - a.y1), (b.y0 - a.y1) - 1.5)", 0, 0.5))
 pair("same_page", "Total:", spatial.are_on_same_page, "1.0")
 pair("are_disjoint", "Total:", spatial.are_disjoint, "1.0")
@@ -158,16 +193,89 @@ pair("any_holds", "Price", lambda: predicates.any_holds(spatial.are_aligned("LEF
 pair("negate", "Price", lambda: predicates.negate(spatial.are_aligned("LEFT_SIDES", 1.0, 2.0)), f"1 - ({taper_sql('abs(a.x0 - b.x0)', 1, 2)})")
 pair("penalize", "Price", lambda: predicates.penalize(spatial.are_aligned("LEFT_SIDES", 1.0, 2.0)), f"least(0.7, {taper_sql('abs(a.x0 - b.x0)', 1, 2)})")
 pair("non_fatal", "Price", lambda: predicates.non_fatal(spatial.are_aligned("LEFT_SIDES", 1.0, 2.0)), f"greatest(0.5, {taper_sql('abs(a.x0 - b.x0)', 1, 2)})")
-_BETWEEN = "CASE WHEN a.y0 = b.y0 AND b.x0 > a.x1 AND EXISTS (SELECT 1 FROM f c WHERE c.doc_id = a.doc_id AND c.y0 = a.y0 AND c.x0 > a.x1 AND c.x1 < b.x0) THEN 0.0 ELSE 1.0 END"
-pair("nothing_between_horizontally", "Quantity", spatial.nothing_between_horizontally, _BETWEEN)
-pair("no_words_between_horizontally", "Quantity", spatial.no_words_between_horizontally, _BETWEEN)
-pair("nothing_between_vertically", "Price", spatial.nothing_between_vertically, None)
-pair("no_words_between_vertically", "Price", spatial.no_words_between_vertically, None)
-pair("tabular_header", "Price", spatial.is_tabular_header, None)
-pair("immediate_header", "Price", spatial.is_immediate_header, None)
-pair("heads_tabular_entry", "Price", spatial.heads_tabular_entry, None)
-pair("label_value_ltr", "Total:", spatial.is_left_to_right_label_value_pair, "CASE WHEN a.y0 = b.y0 AND b.x0 > a.x1 THEN 1.0 ELSE 0.0 END")
-pair("label_value_td", "Price", spatial.is_top_down_label_value_pair, None)
+class Region:
+    """SQL of a region between or around words a and b: words seen along a direction cover it by unit cells, as words lie on a grid of them."""
+
+    def __init__(self, x: tuple[str, str], y: tuple[str, str], vertical: bool, letters: bool = False, most: float = 1.0):
+        self.x, self.y, self.vertical, self.letters, self.most = x, y, vertical, letters, most
+
+    def ctes(self, k: int, pairs: bool) -> str:
+        """Tables p (pairs or words) to s{k}: id and the share that stays free, null for all of it."""
+        lo, hi, c = ("x0", "x1", "x") if self.vertical else ("y0", "y1", "y")
+        opacity = "length(regexp_replace(c.text, '[^A-Za-z]', '', 'g')) / length(c.text)" if self.letters else "1.0"
+        other = " AND (c.x0, c.y0) <> (q.b_x, q.b_y)" if pairs else ""
+        return (
+            f"r{k} AS (SELECT p.*, {self.x[0]} AS rx0, {self.x[1]} AS rx1, {self.y[0]} AS ry0, {self.y[1]} AS ry1 FROM p), "
+            f"q{k} AS (SELECT *, unnest(generate_series(CAST(floor(r{lo}) AS BIGINT), CAST(ceil(r{hi}) AS BIGINT) - 1)) AS i FROM r{k} WHERE rx1 > rx0 AND ry1 > ry0), "
+            f"c{k} AS (SELECT q.id, q.i, any_value((least(r{hi}, i + 1) - greatest(r{lo}, i)) / (r{hi} - r{lo})) AS part, max({opacity}) AS o FROM q{k} q JOIN f c ON c.doc_id = q.doc_id AND c.x0 <= rx1 AND c.x1 >= rx0 AND c.y0 <= ry1 AND c.y1 >= ry0 "
+            f"AND c.{c}0 <= i AND c.{c}1 >= i + 1 AND (c.x0, c.y0) <> (q.a_x, q.a_y){other} GROUP BY q.id, q.i), "
+            f"s{k} AS (SELECT id, CASE WHEN sum(part * o) > {self.most} THEN 0 ELSE 1 - sum(part * o) END AS free FROM c{k} GROUP BY id)"
+        )
+
+
+def eroded_sql(a: str, b: str, by: float, or_else: bool) -> tuple[str, str]:
+    fits = f"({b}) - {by} > ({a}) + {by}"
+    rest = (f" ELSE {a}", f" ELSE {b}") if or_else else ("", "")
+    return f"(CASE WHEN {fits} THEN ({a}) + {by}{rest[0]} END)", f"(CASE WHEN {fits} THEN ({b}) - {by}{rest[1]} END)"
+
+
+def between_sql(vertical: bool, letters: bool = False, most: float = 1.0) -> Region:
+    """The part between two words that both face."""
+    (lo, hi), (near, far) = (("x0", "x1"), ("y1", "y0")) if vertical else (("y0", "y1"), ("x1", "x0"))
+    s, e = f"greatest(p.a_{lo}, p.b_{lo})", f"least(p.a_{hi}, p.b_{hi})"
+    s, e = eroded_sql(f"CASE WHEN {s} <= {e} THEN {s} END", f"CASE WHEN {s} <= {e} THEN {e} END", 0.25, True)
+    along = eroded_sql(f"p.a_{near}", f"p.b_{far}", 0.25, True)
+    return Region((s, e), along, True, letters, most) if vertical else Region(along, (s, e), False, letters, most)
+
+
+def strip_sql(kind: str) -> Region:
+    """The strip beside a header or an entry, or right between them."""
+    x = eroded_sql("least(p.a_x0, p.b_x0)", "greatest(p.a_x1, p.b_x1)", 1.0, False)
+    if kind == "immediate":
+        return Region(x, eroded_sql("least(p.a_y0, p.b_y0)", "greatest(p.a_y0, p.b_y0)", 0.33, False), False)
+    e = "a" if kind == "header" else "b"
+    return Region(x, eroded_sql(f"p.{e}_y0", f"p.{e}_y1", 0.25, False), False)
+
+
+_BOX = ", ".join(f"{{0}}.{c} AS {{0}}_{c}" for c in ("x0", "x1", "y0", "y1"))
+
+
+def pair_with_regions(name: str, label: str, p: Callable[[], ir.Predicate | ir.Rule], regions: list[Region], others: str = "1.0", where: str = "") -> None:
+    """As pair, for predicates that look at what stands in regions; others is the SQL of what they say beside that."""
+    words = f"p AS (SELECT row_number() OVER () AS id, a.doc_id, a.text AS a, a.x0 AS a_x, a.y0 AS a_y, b.text AS b, b.x0 AS b_x, b.y0 AS b_y, {_BOX.format('a')}, {_BOX.format('b')}, {others} AS o FROM f a JOIN f b USING (doc_id) WHERE upper(a.text) = '{label.upper()}' AND (a.x0, a.y0) <> (b.x0, b.y0))"
+    free = " * ".join(f"coalesce(s{k}.free, 1)" for k in range(len(regions)))
+    joins = " ".join(f"LEFT JOIN s{k} USING (id)" for k in range(len(regions)))
+    sql = f"WITH {FORMS}, {words}, {', '.join(r.ctes(k, True) for k, r in enumerate(regions))}, z AS (SELECT p.*, o * {free} AS s FROM p {joins}) SELECT doc_id, a, a_x, a_y, b, b_x, b_y, round(CAST(s AS DOUBLE), 6) AS score FROM z WHERE s > 0.1"
+    all_of(name, lambda: ir.extract(exact("a", label), *_rules(p(), "a", "b")), ("a", "b"), sql)
+
+
+def _rules(p: ir.Predicate | ir.Rule, *fields: str) -> list[ir.Rule]:
+    return [p(*fields) if isinstance(p, ir.Predicate) else p]
+
+
+def single_with_region(name: str, p: Callable[[], ir.Predicate], region: Region) -> None:
+    """Every word of every form, by what stands in a region beside it."""
+    words = f"p AS (SELECT row_number() OVER () AS id, a.doc_id, a.text AS a, a.x0 AS a_x, a.y0 AS a_y, {_BOX.format('a')}, dx, dy FROM f a JOIN g USING (doc_id))"
+    sql = f"WITH {FORMS}, {words}, {region.ctes(0, False)}, z AS (SELECT p.*, coalesce(s0.free, 1) AS s FROM p LEFT JOIN s0 USING (id)) SELECT doc_id, a, a_x, a_y, round(CAST(s AS DOUBLE), 6) AS score FROM z WHERE s > 0.1"
+    all_of(name, lambda: ir.extract(p()("a")), ("a",), sql)
+
+
+_DOWN, _GAP = taper_sql("greatest(0, -(b.y0 - a.y1))", 0, 0.5), "(b.y0 - a.y1)"
+pair_with_regions("nothing_between_horizontally", "Quantity", spatial.nothing_between_horizontally, [between_sql(False)])
+pair_with_regions("no_words_between_horizontally", "Quantity", spatial.no_words_between_horizontally, [between_sql(False, True, 0.5)])
+pair_with_regions("nothing_between_vertically", "Price", spatial.nothing_between_vertically, [between_sql(True)])
+pair_with_regions("no_words_between_vertically", "Price", spatial.no_words_between_vertically, [between_sql(True, True, 0.5)])
+pair_with_regions("no_words_below_customer", "Date:", spatial.no_words_between_vertically, [between_sql(True, True, 0.5)])
+pair_with_regions("tabular_header", "Price", spatial.is_tabular_header, [strip_sql("header")], _DOWN)
+pair_with_regions("immediate_header", "Price", spatial.is_immediate_header, [strip_sql("immediate")], _DOWN)
+pair_with_regions("heads_tabular_entry", "Price", spatial.heads_tabular_entry, [strip_sql("entry")], _DOWN)
+pair_with_regions("label_value_ltr", "Total:", spatial.is_left_to_right_label_value_pair, [between_sql(False)], f"({taper_sql('greatest(0, -(b.x0 - a.x1))', 0, 0.5)}) * ({taper_sql('abs(a.y1 - b.y1)', 0.5, 0.5)})")
+_SIDES = ", ".join(taper_sql(f"abs({_AT[m].format('a')} - {_AT[m].format('b')})", 1, 3.5) for m in ("RIGHT_SIDES", "LEFT_SIDES", "VERTICAL_MIDLINES"))
+pair_with_regions("label_value_td", "Price", spatial.is_top_down_label_value_pair, [between_sql(True)], f"({taper_sql(f'greatest(0, -{_GAP}, {_GAP} - 2)', 0, 1)}) * greatest({_SIDES})")
+_ROW = f"({taper_sql('abs(a.y1 - b.y1)', 0.5, 0.5)}) * ({taper_sql('greatest(0, -(b.x0 - a.x1))', 0, 0.5)})"
+pair_with_regions("tabular_row", "Quantity", lambda: spatial.tabular_row("a", "b"), [between_sql(False, True, 0.5)], _ROW)
+_NEAR = f"({taper_sql(f'greatest(0, -{_GAP}, {_GAP} - 1.5)', 0, 0.5)})"
+pair_with_regions("tabular_column", "Price", lambda: ir.all_rules_hold(spatial.tabular_column("a", "b"), spatial.one_to_two_lines_above()("a", "b")), [strip_sql("header"), strip_sql("entry"), between_sql(True, True, 0.5)], f"({_DOWN}) * ({_DOWN}) * ({taper_sql('abs((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2)', 0.5, 10)}) * {_NEAR}")
 
 
 def single(name: str, p: Callable[[], ir.Predicate], sql: str | None) -> None:
@@ -182,11 +290,13 @@ single("in_doc_region", lambda: predicates.is_in_doc_region((0.0, 0.5), (0.5, 1.
 single("in_page_region", lambda: predicates.is_in_page_region((0.0, 0.5), (0.5, 1.0)), _REGION)
 single("page_number_is", lambda: predicates.page_number_is({0: 0.6, 1: 0.0}), "0.6")
 single("is_entire_phrase", lambda: predicates.is_entire_phrase, "1.0")
-single("nothing_between_left_edge", lambda: spatial.nothing_between_edge("LEFT"), "CASE WHEN EXISTS (SELECT 1 FROM f c WHERE c.doc_id = a.doc_id AND c.y0 = a.y0 AND c.x0 < a.x0) THEN 0.0 ELSE 1.0 END")
-single("nothing_between_right_edge", lambda: spatial.nothing_between_edge("RIGHT"), "CASE WHEN EXISTS (SELECT 1 FROM f c WHERE c.doc_id = a.doc_id AND c.y0 = a.y0 AND c.x0 > a.x0) THEN 0.0 ELSE 1.0 END")
-single("nothing_between_top_edge", lambda: spatial.nothing_between_edge("TOP"), None)
-single("nothing_between_bottom_edge", lambda: spatial.nothing_between_edge("BOTTOM"), None)
-single("empty_line_above", spatial.empty_line_above, None)
+_LEVEL = eroded_sql("p.a_y0", "p.a_y1", 0.25, True)
+single_with_region("nothing_between_left_edge", lambda: spatial.nothing_between_edge("LEFT"), Region(("0.0", "p.a_x0"), _LEVEL, False, False, 0.5))
+single_with_region("nothing_between_right_edge", lambda: spatial.nothing_between_edge("RIGHT"), Region(("p.a_x1", "p.dx"), _LEVEL, False, False, 0.5))
+single_with_region("nothing_between_top_edge", lambda: spatial.nothing_between_edge("TOP"), Region(("p.a_x0", "p.a_x1"), ("0.0", "p.a_y0"), True, False, 0.5))
+single_with_region("nothing_between_bottom_edge", lambda: spatial.nothing_between_edge("BOTTOM"), Region(("p.a_x0", "p.a_x1"), ("p.a_y1", "p.dy"), True, False, 0.5))
+single_with_region("empty_line_above", spatial.empty_line_above, Region(("p.a_x0", "p.a_x1"), ("p.a_y0 - 1", "p.a_y0"), True))
+single("in_pixel_region", lambda: spatial.is_in_pixel_page_region(0.0, 24.0, 1.0, 8.0), "CASE WHEN a.x1 <= 24 AND a.y0 >= 1 AND a.y1 <= 8 THEN 1.0 ELSE 0.0 END")
 single("oriented_horizontally", spatial.is_oriented_horizontally, "CASE WHEN a.x1 - a.x0 >= 1 THEN 1.0 ELSE 0.0 END")
 
 _TOTAL = "SELECT a.doc_id, a.text AS label, a.x0 AS label_x, a.y0 AS label_y, b.text AS value, b.x0 AS value_x, b.y0 AS value_y, CAST({score} AS DOUBLE) AS score FROM w a0 JOIN f a ON a.doc_id = a0.doc_id AND a.x0 = a0.x0 AND a.y0 = a0.y0 JOIN w b0 ON b0.doc_id = a0.doc_id AND b0.slot = {value} JOIN f b ON b.doc_id = b0.doc_id AND b.x0 = b0.x0 AND b.y0 = b0.y0 WHERE a0.slot = {label}"
@@ -211,12 +321,12 @@ def _headings(*fields: str) -> list[ir.Rule]:
 
 _HEAD = "SELECT doc_id, " + ", ".join(f"'{t}' AS {c}, {x}.0::DOUBLE AS {c}_x, 4.0::DOUBLE AS {c}_y" for c, t, x in (("a", "Quantity", 0), ("b", "Price", 15), ("c", "Discount", 30))) + ", 1.0::DOUBLE AS score FROM g"
 all_of("extract_triple", lambda: ir.extract(*_headings("a", "b", "c"), spatial.row("a", "b", "c")), ("a", "b", "c"), f"WITH {FORMS} {_HEAD}", 1)
-all_of("tabular_row", lambda: ir.extract(*_headings("a", "b"), spatial.tabular_row("a", "b")), ("a", "b"), None, 1)
 all_of("extract_not_found", lambda: ir.extract(exact("label", "Subtotal:"), spatial.row("label", "value")), ("label", "value"), f"WITH {FORMS} " + _TOTAL.format(score="1", label=9, value=10) + " AND 1 = 0", 1)
-_CELL = "f a JOIN f b ON a.doc_id = b.doc_id AND a.text = 'Price' AND b.y0 > a.y0 AND b.x0 = a.x0 JOIN f c ON c.doc_id = b.doc_id AND c.y0 > b.y0 AND c.x0 = a.x0"
-all_of("column", lambda: ir.extract(exact("a", "Price"), spatial.left_aligned_column("a", "b", "c"), predicates.is_dollar_amount("b"), predicates.is_dollar_amount("c"), spatial.one_to_two_lines_above()("a", "b")), ("a", "b", "c"), None)
-all_of("table", lambda: ir.extract(*_headings("a", "b"), predicates.is_dollar_amount("c"), predicates.is_dollar_amount("d"), spatial.table([["a", "b"], ["c", "d"]]), spatial.are_arranged("TOP_DOWN", 1.0, 1.0, 1.0)("a", "c")), ("a", "b", "c", "d"), None, 1)
-all_of("tabular_column", lambda: ir.extract(exact("a", "Price"), spatial.tabular_column("a", "b"), spatial.one_to_two_lines_above()("a", "b")), ("a", "b"), None)
+_IS_MONEY = "regexp_full_match({0}.text, '[0-9]+[.][0-9]{{2}}')"
+_COLUMN = f"SELECT a.doc_id, a.text AS a, a.x0 AS a_x, a.y0 AS a_y, b.text AS b, b.x0 AS b_x, b.y0 AS b_y, c.text AS c, c.x0 AS c_x, c.y0 AS c_y, round((1 + 0.991 + 0.991) / 3, 6) AS score FROM f a JOIN f b USING (doc_id) JOIN f c USING (doc_id) WHERE a.text = 'Price' AND b.x0 = a.x0 AND b.y0 - a.y1 BETWEEN 0 AND 1.5 AND c.x0 = a.x0 AND c.y0 >= b.y1 AND {_IS_MONEY.format('b')} AND {_IS_MONEY.format('c')}"
+all_of("column", lambda: ir.extract(exact("a", "Price"), spatial.left_aligned_column("a", "b", "c"), predicates.is_dollar_amount("b"), predicates.is_dollar_amount("c"), spatial.one_to_two_lines_above()("a", "b")), ("a", "b", "c"), f"WITH {FORMS} {_COLUMN}")
+_TABLE = f"SELECT a.doc_id, a.text AS a, a.x0 AS a_x, a.y0 AS a_y, b.text AS b, b.x0 AS b_x, b.y0 AS b_y, c.text AS c, c.x0 AS c_x, c.y0 AS c_y, d.text AS d, d.x0 AS d_x, d.y0 AS d_y, round((1 + 1 + 0.991 + 0.991) / 4, 6) AS score FROM f a JOIN f b USING (doc_id) JOIN f c USING (doc_id) JOIN f d USING (doc_id) WHERE a.text = 'Quantity' AND b.text = 'Price' AND c.x0 = a.x0 AND c.y0 = a.y1 + 1 AND d.x0 = b.x0 AND d.y0 = c.y0 AND {_IS_MONEY.format('c')} AND {_IS_MONEY.format('d')}"
+all_of("table", lambda: ir.extract(*_headings("a", "b"), predicates.is_dollar_amount("c"), predicates.is_dollar_amount("d"), spatial.table([["a", "b"], ["c", "d"]]), spatial.are_arranged("TOP_DOWN", 1.0, 1.0, 1.0)("a", "c")), ("a", "b", "c", "d"), f"WITH {FORMS} {_TABLE}")
 
 
 def _both(sql: str) -> str:
@@ -266,6 +376,24 @@ def median_line_height(spark: SparkSession, d: str) -> DataFrame:
     return entities.median_line_height(layouts.order_form(spark, d).entities)
 
 
+@query("reading_order", f"WITH {FORMS}, l AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY y0) - 1 AS line_no FROM w) SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, count(*) - 1 AS last_place, string_agg(text, ' ' ORDER BY x0, text) AS line FROM l GROUP BY 1, 2")
+def reading_order(spark: SparkSession, d: str) -> DataFrame:
+    """Words of a line stand a little higher or lower than one another."""
+    w, off = layouts.order_form_words(spark, d), (F.col("x0") % 4) * 0.02
+    x = entities.in_reading_order(w.withColumn("y0", F.col("y0") + off).withColumn("y1", F.col("y1") + off))
+    return x.groupBy("doc_id", "line_no").agg(F.max("place").cast("long").alias("last_place"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("line"))
+
+
+_CLUSTERS = "v AS (SELECT doc_id, y0, text FROM f WHERE x0 = 15), t AS (SELECT doc_id, y0, y0 AS y, text AS lines, 1 AS k FROM v UNION ALL SELECT t.doc_id, t.y0, v.y0, t.lines || chr(10) || v.text, k + 1 FROM t JOIN v ON v.doc_id = t.doc_id AND v.y0 = t.y + 1 WHERE k < 6)"
+
+
+@query("multiline_clusters", f"WITH RECURSIVE {FORMS}, {_CLUSTERS} SELECT doc_id, y0, lines, 1.0::DOUBLE AS score, CASE WHEN k < 6 AND EXISTS (SELECT 1 FROM v WHERE v.doc_id = t.doc_id AND (v.y0 = t.y0 - 1 OR v.y0 = t.y + 1)) THEN 0.0 ELSE 1.0 END::DOUBLE AS maximality FROM t")
+def multiline_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The second column of order forms, each word a line."""
+    lines = layouts.order_form_words(spark, d).where("x0 = 15").dropDuplicates(["doc_id", "text", "y0"]).withColumnRenamed("word_id", "line_id")
+    return entities.multiline_clusters(lines).select("doc_id", F.get("ls", F.lit(0))["y0"].alias("y0"), F.array_join(F.col("ls.text"), "\n").alias("lines"), F.round("score", 6).alias("score"), "maximality")
+
+
 @query("document_boxes", f"WITH {FORMS} SELECT doc_id, 0.0::DOUBLE AS x0, dx AS x1, 0.0::DOUBLE AS y0, dy AS y1 FROM g")
 def document_boxes(spark: SparkSession, d: str) -> DataFrame:
     return layouts.order_form_words(spark, d).groupBy("doc_id").agg(*geometry.union_of_boxes())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,9 +28,9 @@ def spatial_taper(error: Column, tolerance, taper) -> Column:
 
 
 def text_taper(error: Column, tolerance, taper) -> Column:
-    """The same over whole edits: a taper of n leaves something for n edits too many."""
-    e = F.greatest(F.lit(0.0), error - _c(tolerance))
-    return F.when(e == 0, 1.0).otherwise(1.0 - F.least(F.lit(1.0), e / (_c(taper) + 1.0)))
+    """The same over edits: a taper of n leaves something for n edits too many; without a taper there is nothing between 1 and 0."""
+    e, t = F.greatest(F.lit(0.0), error - _c(tolerance)), _c(taper)
+    return F.when(e == 0, 1.0).when(t == 0, 0.0).otherwise(1.0 - F.least(F.lit(1.0), e / (t + 1.0)))
 
 
 def numeric_taper(error: Column, tolerance, taper) -> Column:
@@ -58,6 +59,16 @@ def massaged(text: Column, flags: int) -> Column:
     return F.regexp_replace(text, f"[^{keep}]", "") if keep else text
 
 
+def massaged_text(text: str, flags: int) -> str:
+    """The same for a text that is known beforehand."""
+    if not flags & CASE_SENSITIVE:
+        text = text.upper()
+    if flags & NO_WHITESPACE:
+        text = re.sub(r"\s+", "", text)
+    keep = ("a-zA-Z" if flags & ALPHABETICAL else "") + ("0-9" if flags & NUMERICAL else "")
+    return re.sub(f"[^{keep}]", "", text) if keep else text
+
+
 def edit_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b)
 
@@ -99,46 +110,48 @@ def n_chars_in(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def text_property_errors(text: Column, at_least: int | None = None, at_most: int | None = None, exactly: int | None = None, legal_chars: str | None = None, min_proportions: dict[str, float] | None = None, max_proportions: dict[str, float] | None = None, min_counts: dict[str, int] | None = None, max_counts: dict[str, int] | None = None) -> Column:
+def text_property_errors(text: Column, length: dict | None = None, legal_chars: str | None = None, min_char_proportions: list | None = None, max_char_proportions: list | None = None, min_char_counts: list | None = None, max_char_counts: list | None = None) -> Column:
     """How many characters are wrong; shares of characters may make it fractional."""
-    n = F.length(text).cast("double")
-    none = F.lit(0.0)
+    n, none, length = F.length(text).cast("double"), F.lit(0.0), length or {}
+    if not ({*length} <= {"at_least", "at_most"} or {*length} == {"exactly"}):
+        raise ValueError("length has at_least and at_most, or exactly")
     errors = [none]
-    if at_least is not None:
-        errors.append(F.greatest(none, at_least - n))
-    if at_most is not None:
-        errors.append(F.greatest(none, n - at_most))
-    if exactly is not None:
-        errors.append(F.abs(n - exactly))
+    if "at_least" in length:
+        errors.append(F.greatest(none, length["at_least"] - n))
+    if "at_most" in length:
+        errors.append(F.greatest(none, n - length["at_most"]))
+    if "exactly" in length:
+        errors.append(F.abs(n - length["exactly"]))
     if legal_chars is not None:
         errors.append(n - n_chars_in(text, legal_chars))
-    for sign, table, scale in ((1, min_proportions, n), (-1, max_proportions, n), (1, min_counts, None), (-1, max_counts, None)):
-        for chars, bound in (table or {}).items():
-            want = F.lit(float(bound)) * scale if scale is not None else F.lit(float(bound))
-            errors.append(F.greatest(none, sign * (want - n_chars_in(text, chars))))
+    for sign, wanted, of in ((1, min_char_proportions, "proportion"), (-1, max_char_proportions, "proportion"), (1, min_char_counts, "count"), (-1, max_char_counts, "count")):
+        for d in wanted or ():
+            want = F.lit(float(d[of])) * (n if of == "proportion" else 1.0)
+            errors.append(F.greatest(none, sign * (want - n_chars_in(text, d["chars"]))))
     return reduce(lambda a, b: a + b, errors)
 
 
 def parsed_number(text: Column, period_as_delimiter: bool = False, force_dollar_decimal: bool = False) -> Column:
-    """The number in a text: its digits, a leading minus, and the right-most period if it counts; null if there is none."""
+    """The number in a text: its digits, a leading minus, and the right-most period if it counts; null if there is none. With
+    force_dollar_decimal the last two characters of three or more, the minus among them, are cents."""
     kept = F.regexp_replace(text, r"[^0-9.\-]" if period_as_delimiter else r"[^0-9\-]", "")
     if period_as_delimiter:
         kept = F.regexp_replace(kept, r"\.(?=.*\.)", "")
     sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
-    body = F.regexp_replace(kept, "-", "")
+    number = F.concat(sign, F.regexp_replace(kept, "-", ""))
     if force_dollar_decimal:
-        body = F.when(~body.contains(".") & (F.length(body) > 2), F.regexp_replace(body, r"(..)$", r".$1")).otherwise(body)
-    return F.concat(sign, body).try_cast("double")
+        number = F.when(~number.contains(".") & (F.length(number) > 2), F.regexp_replace(number, r"(..)$", r".$1")).otherwise(number)
+    return number.try_cast("double")
 
 
 #: Month names, then the date shapes that a text is compared with.
-MONTHS = "JANUARY FEBRUARY MARCH APRIL MAY JUNE JULY AUGUST SEPTEMBER OCTOBER NOVEMBER DECEMBER JAN FEB MAR APR JUN JUL AUG SEPT SEP OCT NOV DEC"
+MONTHS = ("JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER", "JAN", "FEB", "MAR", "APR", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 DATES = ("JAN-99-99", "JAN-99TH-99", "99-JAN-99", "99TH-JAN-99", "99-99-99", "99JAN99")
 
 
 def date_shape(text: Column) -> Column:
     t = F.upper(text)
-    t = F.regexp_replace(t, "(?:" + "|".join(MONTHS.split()) + ")", "JAN")
+    t = F.regexp_replace(t, "(?:" + "|".join(MONTHS) + ")", "JAN")
     t = F.regexp_replace(t, "[0-9]", "9")
     t = F.replace(t, F.lit("/"), F.lit("-"))
     t = F.regexp_replace(t, r"9\.9", "9-9")
@@ -146,28 +159,41 @@ def date_shape(text: Column) -> Column:
     return F.regexp_replace(F.trim(t), r"\s+", "-")
 
 
+def date_likeness_by(text: Column, shape: Column) -> Column:
+    """From a text and its date_shape, which are columns if this is to be compiled."""
+    return F.when(F.length(text) > 20, 0.0).otherwise(1.0 - F.least(*[relative_edit_distance(shape, F.lit(d)) for d in DATES]))
+
+
 def date_likeness(text: Column) -> Column:
-    best = bound(date_shape(text), lambda shape: F.least(*[relative_edit_distance(shape, F.lit(d)) for d in DATES]))
-    return F.when(F.length(text) > 20, 0.0).otherwise(1.0 - best)
+    return bound(date_shape(text), lambda shape: date_likeness_by(text, shape))
 
 
 DOLLAR_LEGAL = "0123456789,. $*"
 
 
+def dollar_core(text: Column) -> Column:
+    """A text without what can't belong to an amount at its ends."""
+    return F.regexp_replace(F.regexp_replace(text, r"^[^0-9,. $*]+", ""), r"[^0-9,. $*]+$", "")
+
+
+def dollar_likeness_by(text: Column, core: Column) -> Column:
+    """From a text and its dollar_core, which are columns if this is to be compiled."""
+    digits, symbols, seps = n_chars_in(text, "0123456789"), n_chars_in(text, "$"), n_chars_in(text, ",. ")
+    legal, n, at = n_chars_in(text, DOLLAR_LEGAL), F.length(core), lambda k: F.substring(F.reverse(core), k, 1)
+    wrong = lambda ok: F.when(ok, 0).otherwise(1)
+    cents = wrong(at(1).rlike("[0-9]")) + wrong(at(2).rlike("[0-9]")) + wrong(at(3).rlike("[,. ]"))
+    error = n - legal + F.greatest(F.lit(0), 3 - digits) + F.greatest(F.lit(0), seps - F.floor(0.25 * (legal - symbols))) + F.greatest(F.lit(0), symbols - 1) + F.length(text) - n + cents
+    return F.when(text == ".00", 1.0).when((F.length(text) > 15) | (digits > 14) | (F.length(text) < 3), 0.0).otherwise(spatial_taper(error.cast("double"), 0.0, 0.5 * n))
+
+
 def dollar_likeness(text: Column) -> Column:
     """How much a text looks like an amount with cents."""
-    digits, symbols, seps = n_chars_in(text, "0123456789"), n_chars_in(text, "$*"), n_chars_in(text, ",. ")
-    legal = n_chars_in(text, DOLLAR_LEGAL)
-    trimmed = F.regexp_replace(F.regexp_replace(text, r"^[^0-9,. $*]+", ""), r"[^0-9,. $*]+$", "")
-    wrong = lambda ok: F.when(ok, 0).otherwise(1)
+    return bound(dollar_core(text), lambda core: dollar_likeness_by(text, core))
 
-    def score(core: Column) -> Column:
-        n, at = F.length(core), lambda k: F.substring(F.reverse(core), k, 1)
-        cents = wrong(at(1).rlike("[0-9]")) + wrong(at(2).rlike("[0-9]")) + wrong(at(3).rlike("[,. ]"))
-        error = n - legal + F.greatest(F.lit(0), 3 - digits) + F.greatest(F.lit(0), seps - F.floor(0.25 * (legal - symbols))) + F.greatest(F.lit(0), symbols - 1) + F.length(text) - n + cents
-        return bound(error.cast("double"), lambda e: spatial_taper(e, 0.0, 0.5 * n))
 
-    return F.when(text == ".00", 1.0).when((F.length(text) > 15) | (digits > 14) | (F.length(text) < 3), 0.0).otherwise(bound(trimmed, score))
+def dollar_sure(like: Column, words: Column | int) -> Column:
+    """Longer runs of words count a little more."""
+    return F.when(like == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), like - 0.01 + 0.001 * words)))
 
 
 def dollar_score(words: Column) -> Column:
@@ -176,8 +202,7 @@ def dollar_score(words: Column) -> Column:
     runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.slice(words, i, j - i + 1))))
 
     def score(run: Column) -> Column:
-        sure = lambda like: F.when(like == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), like - 0.01 + 0.001 * F.size(run))))
-        return bound(bound(F.array_join(run, " "), dollar_likeness), sure)
+        return bound(bound(F.array_join(run, " "), dollar_likeness), lambda like: dollar_sure(like, F.size(run)))
 
     return F.when(n > 0, F.array_max(F.transform(runs, score))).otherwise(0.0)
 

@@ -30,9 +30,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again; with ``by`` rows of a key lie together, in order."""
+def bucketed(df: DataFrame, name: str, key: str, distinct: tuple[str, ...] = ()) -> DataFrame:
+    """df, written once as a table in the shared folder, in buckets of a key: joins and groups by it need no exchange. With ``distinct``
+    rows that agree in these columns, the key among them, are one, by the same exchange."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.repartition(*by).sortWithinPartitions(*by) if by else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
+    x = df.repartition(n, key)
+    x = x.dropDuplicates(list(distinct)) if distinct else x
+    x.write.bucketBy(n, key).sortBy(key).option("path", f"{checkpoint_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)

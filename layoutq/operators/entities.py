@@ -115,8 +115,10 @@ def entities_of(phrase: DataFrame) -> DataFrame:
     """Text entities of phrases, and the dates and amounts among them, once each."""
     box = [(F.array_min if c[1] == "0" else F.array_max)(F.col(f"ws.{c}")).alias(c) for c in BOX]
     t = phrase.select("doc_id", "page_no", F.array_join(F.col("ws.text"), " ").alias("text"), F.col("ws.text").alias("parts"), *box, F.col("ids").alias("word_ids"), F.size("ids").alias("n_words"), "maximality", "ocr_score")
-    date = t.withColumn("likeness", date_likeness(F.col("text"))).where(F.col("likeness") >= LEAST_DATE).withColumn("type", F.lit("Date"))
-    dollar = t.withColumn("likeness", dollar_score(F.col("parts"))).where(F.col("likeness") >= LEAST_DOLLAR).withColumn("type", F.lit("DollarAmount"))
+    # neither a date nor an amount is likely enough without a digit
+    able = t.where(F.col("text").rlike("[0-9]"))
+    date = able.where(F.length("text") <= 20).withColumn("likeness", date_likeness(F.col("text"))).where(F.col("likeness") >= LEAST_DATE).withColumn("type", F.lit("Date"))
+    dollar = able.withColumn("likeness", dollar_score(F.col("parts"))).where(F.col("likeness") >= LEAST_DOLLAR).withColumn("type", F.lit("DollarAmount"))
     text = t.withColumn("likeness", F.lit(None).cast("double")).withColumn("type", F.lit("Text"))
     return completed(text.unionByName(date).unionByName(dollar).drop("parts"))
 
@@ -156,27 +158,59 @@ def build(words: DataFrame, pages: DataFrame, grouped=phrases) -> Layout:
     return Layout(e.unionByName(completed(page)), documents_of(e, p))
 
 
+def cluster_score(ls: Column) -> Column:
+    """How much lines (structs of text and box) are set like one text: even heights, baselines, left sides and widths of characters, a line's height
+    to one and a half from baseline to baseline; in units of their mean height, and 0 unless above the least."""
+    n = F.size(ls)
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda x, y: x + y) / n
+    height = F.transform(ls, lambda w: w["y1"] - w["y0"])
+    apart = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.abs(F.get(ls, i)["y1"] - F.get(ls, i - 1)["y1"]))
+    measures = F.struct(mean(height).alias("mu"), mean(F.transform(ls, lambda w: w["x0"])).alias("left"), height.alias("h"), apart.alias("apart"), F.transform(ls, lambda w: (w["x1"] - w["x0"]) / F.length(w["text"])).alias("wide"))
+
+    def score(m: Column) -> Column:
+        mu, zero = m["mu"], F.lit(0.0)
+        off = F.array_max(F.transform(ls, lambda w: F.abs(w["x0"] - m["left"])))
+        s = _fade(_spread(m["h"]), 0.1 * mu, 0.1 * mu) * _fade(_spread(m["apart"]), 0.3 * mu, 0.3 * mu) * _fade(off, 0.5 * mu, 0.5 * mu) * _fade(_spread(m["wide"]), 0.4 * mu, 0.5 * mu)
+        return s * _fade(F.greatest(zero, F.array_max(m["apart"]) - 1.5 * mu), zero, 0.5 * mu) * _fade(F.greatest(zero, mu - F.array_min(m["apart"])), zero, 0.2 * mu)
+
+    # the words of one line have the same baseline, so that a line of several words joins no other
+    alone = F.forall(ls, lambda w: ~F.trim(w["text"]).rlike(r"\s"))
+    return F.when(n == 1, 1.0).when(~alone, 0.0).otherwise(bound(bound(measures, score), lambda s: F.when(s > LEAST_PHRASE, s).otherwise(0.0)))
+
+
 def multiline_clusters(lines: DataFrame, most: int = 6) -> DataFrame:
-    """Clusters of up to six lines (doc_id, line_id, text, box) below one another: gaps of at most a line, left sides that agree; with their score."""
-    w = lines.select("doc_id", F.struct("line_id", "text", *BOX).alias("w"))
-    level = w.select("doc_id", F.array("w").alias("ls"), F.lit(1.0).alias("score"))
-    levels, right = [level], w.select(F.col("doc_id").alias("d"), F.col("w").alias("n"))
-    for _ in range(most - 1):
+    """Clusters of up to six lines (doc_id, page_no, line_id, text, box) of a page below one another: ls, score, and maximality, 0 for
+    what a longer cluster begins or ends with. A line joins a cluster near it if it scores with each of the cluster's ends."""
+    w = lines.select("doc_id", "page_no", F.struct("line_id", "text", *BOX).alias("w"))
+    level = w.select("doc_id", "page_no", F.array("w").alias("ls"), F.lit(1.0).alias("score"))
+    levels, right = [level], w.select(F.col("doc_id").alias("d"), F.col("page_no").alias("p"), F.col("w").alias("n"))
+    for size in range(2, most + 1):
         last, n = F.element_at("ls", -1), F.col("n")
-        h = n["y1"] - n["y0"]
-        near = (last["y1"] >= n["y0"] - 2 * h) & (last["y0"] < n["y0"]) & g.intersects(last["x0"], last["x1"], n["x0"], n["x1"])
-        longer = level.join(right, (F.col("doc_id") == F.col("d")) & near)
-        gap, mu = F.greatest(F.lit(0.0), n["y0"] - last["y1"]), (h + last["y1"] - last["y0"]) / 2
-        one = _fade(gap, 0.8 * mu, mu) * _fade(F.abs(n["x0"] - last["x0"]), 0.5 * mu, 2 * mu) * _fade(F.abs(h - (last["y1"] - last["y0"])), 0.3 * mu, 0.5 * mu)
-        level = longer.select("doc_id", F.array_append("ls", n).alias("ls"), F.least("score", one).alias("score")).where(F.col("score") > LEAST_PHRASE)
+        least, most_of = (lambda c: F.array_min(F.col(f"ls.{c}"))), (lambda c: F.array_max(F.col(f"ls.{c}")))
+        near = g.intersects(least("x0"), most_of("x1"), n["x0"], n["x1"]) & (most_of("y1") >= n["y0"] - 2 * (n["y1"] - n["y0"])) & (least("y0") <= n["y0"])
+        after = (last["y0"] < n["y0"]) | ((last["y0"] == n["y0"]) & (last["line_id"] < n["line_id"]))
+        longer = level.join(right, (F.col("doc_id") == F.col("d")) & (F.col("page_no") == F.col("p")) & near & after).select("doc_id", "page_no", F.array_append("ls", n).alias("ls"))
+        level = longer.withColumn("score", cluster_score(F.col("ls"))).where("score > 0")
+        for k in range(2, size):
+            level = level.where(cluster_score(F.slice("ls", size - k + 1, k)) > 0)
         levels.append(level)
-    return reduce(lambda a, b: a.unionByName(b), levels)
+    every = stored(reduce(lambda a, b: a.unionByName(b), levels)).withColumn("ids", F.col("ls.line_id"))
+    k = F.size("ids")
+    parts = every.where(k > 1).select("doc_id", "page_no", F.explode(F.array(F.slice("ids", 1, k - 1), F.slice("ids", 2, k - 1))).alias("ids")).distinct().withColumn("maximality", F.lit(0.0))
+    return every.join(parts, ["doc_id", "page_no", "ids"], "left").select("doc_id", "page_no", "ls", "score", F.coalesce("maximality", F.lit(1.0)).alias("maximality"))
+
+
+def in_reading_order(words: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """Adds line_no and place: the topmost word that is on no line yet opens one, which all words belong to whose centre lies within its height
+    and a tenth of it on both sides; lines run from left to right."""
+    rows = words.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("y0", "x0", "word_id", "y1", F.struct(*words.columns).alias("w")))).alias("ws"))
 
+    def step(acc: Column, w: Column) -> Column:
+        by, c = (w["y1"] - w["y0"]) * tolerance, (w["y0"] + w["y1"]) / 2
+        at = F.array_position(F.transform(acc["lines"], lambda r: (r["a"] <= c) & (c <= r["b"])), True)
+        opened = F.struct((w["y0"] - by).alias("a"), (w["y1"] + by).alias("b"))
+        return F.struct(F.when(at > 0, acc["lines"]).otherwise(F.array_append(acc["lines"], opened)).alias("lines"), F.array_append(acc["no"], F.when(at > 0, at - 1).otherwise(F.size(acc["lines"])).cast("int")).alias("no"))
 
-def in_reading_order(words: DataFrame) -> DataFrame:
-    """Adds line_no and place: a word belongs to the line above it if its centre is within a tenth of its height of that line's."""
-    c = (F.col("y0") + F.col("y1")) / 2
-    by = Window.partitionBy("doc_id").orderBy(c, "x0", "word_id")
-    new = F.when(F.lag(c).over(by).isNull() | (F.abs(c - F.lag(c).over(by)) > 0.1 * (F.col("y1") - F.col("y0"))), 1).otherwise(0)
-    x = words.withColumn("new", new).withColumn("line_no", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("int") - 1).drop("new")
+    start = F.struct(F.array().cast("array<struct<a:double,b:double>>").alias("lines"), F.array().cast("array<int>").alias("no"))
+    x = rows.select(F.explode(F.arrays_zip(F.col("ws.w").alias("w"), F.aggregate("ws", start, step)["no"].alias("line_no"))).alias("z")).select("z.w.*", "z.line_no")
     return x.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "line_no").orderBy("x0", "word_id")) - 1)

@@ -39,10 +39,12 @@ def _only_text(score):
     return lambda ctx, e: F.when(e.type == "Text", score(e)).otherwise(0.0)
 
 
-def text_has_substring(text: str, tolerance: int = 1, taper: int = 1, flags: int = 0) -> Predicate:
+def text_has_substring(text: str, tolerance: int = 1, taper: float | None = 1, flags: int = 0) -> Predicate:
+    """Both texts are compared as the flags say; the taper defaults to half the length of the searched text where it is None."""
+    fade = 0.5 * len(text) if taper is None else taper
+
     def score(e: Entity) -> Column:
-        part = (text if flags & k.CASE_SENSITIVE else text.upper()).replace(" ", "" if flags & k.NO_WHITESPACE else " ")
-        return k.text_taper(k.substring_distance(k.massaged(_text(e), flags), part).cast("double"), tolerance, taper)
+        return k.text_taper(k.substring_distance(k.massaged(_text(e), flags), k.massaged_text(text, flags)).cast("double"), tolerance, fade)
 
     return Predicate("text_has_substring", 1, _only_text(score), leniency=ALL, params={"text": text, "tolerance": tolerance, "taper": taper, "text_comparison_flags": flags})
 
@@ -61,7 +63,10 @@ def text_matches_pattern(pattern: str, stands_for: dict[str, str], tolerance: in
     return Predicate("text_matches_pattern", 1, _only_text(score), leniency=ALL, params={"pattern": pattern, "stands_for": stands_for, "tolerance": tolerance, "taper": taper})
 
 
-def text_properties_are(tolerance: int = 1, taper: int | None = None, **properties) -> Predicate:
+def text_properties_are(length: dict | None = None, legal_chars: str | None = None, min_char_proportions: list | None = None, max_char_proportions: list | None = None, min_char_counts: list | None = None, max_char_counts: list | None = None, tolerance: int = 1, taper: int | None = None) -> Predicate:
+    """length has at_least, at_most or exactly; the lists have {"chars", "proportion"} or {"chars", "count"}."""
+    properties = {"length": length, "legal_chars": legal_chars, "min_char_proportions": min_char_proportions, "max_char_proportions": max_char_proportions, "min_char_counts": min_char_counts, "max_char_counts": max_char_counts}
+
     def score(e: Entity) -> Column:
         fade = F.floor(F.length(_text(e)) / 2) if taper is None else F.lit(float(taper))
         return k.text_taper(k.text_property_errors(_text(e), **properties), tolerance, fade)

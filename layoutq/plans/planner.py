@@ -6,10 +6,13 @@ fields that a rule touches, and rows with a field at or below the least score go
 
 from __future__ import annotations
 
+import threading
+import time
 from dataclasses import dataclass
 from functools import reduce
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .ir import LEAST_SCORE, Atom, Combine, Connective, Context, Empty, Entity, Node, Pattern, PickBest, Rule, distributed, flattened, validate
@@ -46,6 +49,27 @@ def rule_score(rule: Rule, ctx: Context) -> Column:
     return F.when(missing, 1.0).otherwise(rule.predicate.score(ctx, *[entity(f) for f in rule.fields]))
 
 
+def bound_of(rule: Rule, fields, ctx: Context) -> Column:
+    """The most that a rule can still score when only these fields are known: what isn't decided counts as 1."""
+    if isinstance(rule, Connective):
+        parts = [bound_of(r, fields, ctx) for r in rule.rules]
+        return reduce(lambda a, b: a * b, parts) if rule.kind == "and" or len(parts) == 1 else F.greatest(*parts)
+    return rule_score(rule, ctx) if set(rule.fields) <= set(fields) else F.lit(1.0)
+
+
+def bounded(df: DataFrame, fields: tuple[str, ...], pending, docs: DataFrame) -> DataFrame:
+    """Leaves out rows which rules that aren't decided yet can only make invalid. Rules that look at words wait until they are decided."""
+    live = [r for r in pending if isinstance(r, Connective) and any(set(a.fields) <= set(fields) for a in r.atoms()) and not any("words" in a.predicate.uses for a in r.atoms())]
+    if not live:
+        return df
+    ctx, x = Context(), with_context(df, docs, [a for r in live for a in r.atoms() if set(a.fields) <= set(fields)])
+    for r in live:
+        most = bound_of(r, fields, ctx)
+        for f in set(r.fields) & set(fields):
+            x = x.where(F.col(f"f__{f}").isNull() | (F.col(f"fs__{f}") * most > LEAST_SCORE))
+    return x.drop("ctx_pages", "ctx_words")
+
+
 def with_context(df: DataFrame, docs: DataFrame, rules) -> DataFrame:
     """df with what these rules use of the document, as far as it isn't there."""
     uses = {u for r in rules for a in r.atoms() for u in a.predicate.uses}
@@ -59,22 +83,32 @@ def without_context(df: DataFrame) -> DataFrame:
 
 
 def scored(df: DataFrame, fields: tuple[str, ...], rules, docs: DataFrame) -> DataFrame:
-    """Multiplies rules into their fields and keeps valid rows."""
-    ctx, rules = Context(), list(rules)
-    if rules:
-        x = with_context(df, docs, rules)
-        keep = [c for c in x.columns if c not in ("ctx_pages", "ctx_words")]
-        x = x.select(*keep, *[rule_score(r, ctx).cast("double").alias(f"r__{i}") for i, r in enumerate(rules)])
-        new = []
-        for c in keep:
-            mine = [f"r__{i}" for i, r in enumerate(rules) if c.startswith("fs__") and c[4:] in r.fields]
-            new.append(reduce(lambda a, b: a * b, [F.col(c), *map(F.col, mine)]).alias(c) if mine else F.col(c))
-        df = x.select(*new)
+    """Multiplies rules into their fields and keeps valid rows. Rules that look at the words of a document come last: only what the others left gets the words."""
+    rules = list(rules)
+    looks = [any("words" in a.predicate.uses for a in r.atoms()) for r in rules]
+    for some in ([r for r, w in zip(rules, looks, strict=True) if not w], [r for r, w in zip(rules, looks, strict=True) if w]):
+        if some:
+            df = valid(multiplied(df, some, docs), fields)
+    return df if rules else valid(df, fields)
+
+
+def valid(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     for f in fields:
         df = df.where(F.col(f"f__{f}").isNull() | (F.col(f"fs__{f}") > LEAST_SCORE))
     return df
 
 
+def multiplied(df: DataFrame, rules: list[Rule], docs: DataFrame) -> DataFrame:
+    ctx, x = Context(), with_context(df, docs, rules)
+    keep = [c for c in x.columns if c not in ("ctx_pages", "ctx_words")]
+    x = x.select(*keep, *[rule_score(r, ctx).cast("double").alias(f"r__{i}") for i, r in enumerate(rules)])
+    new = []
+    for c in keep:
+        mine = [f"r__{i}" for i, r in enumerate(rules) if c.startswith("fs__") and c[4:] in r.fields]
+        new.append(reduce(lambda a, b: a * b, [F.col(c), *map(F.col, mine)]).alias(c) if mine else F.col(c))
+    return x.select(*new)
+
+
 def leaf(layout: Layout, field: str, type_: str, rules) -> Frame:
     e = layout.entities.where(F.col("type") == type_)
     e = e.select("doc_id", F.struct(*[F.col(c) for c in ENTITY]).alias(f"f__{field}"), F.lit(1.0).alias(f"fs__{field}"))
@@ -170,6 +204,7 @@ class Planner:
             # no two fields of a pattern share a word
             apart = [~shared_words(x, y) for x in a.fields for y in b.fields]
             df = scored(joined(a, b, necessary(now, a, b) + apart, self.layout.docs, now), fields, now, self.layout.docs)
+            df = bounded(df, fields, pending, self.layout.docs)
             frames[i] = Frame(beamed(df, fields, self.beam), fields)
         frame = frames.popitem()[1]
         return Frame(frame.df, tuple(node.types))
@@ -237,6 +272,36 @@ def run(layout: Layout, model: Node, k: int | None = 1, beam: int | None = None)
     return _ranked(layout, node, planner.plan(node), k)
 
 
+def run_timed(layout: Layout, model: Node, k: int | None = 1, timeout: float = -1) -> tuple[list[Row], dict]:
+    """The rows of run, and how long planning (binding_ms) and running (pumping_ms) took; after ``timeout`` seconds, if not negative,
+    the jobs are cancelled, there are no rows, and timed_out is true."""
+    context, group = layout.docs.sparkSession.sparkContext, uuid4().hex
+    start, stop, rows = time.monotonic(), threading.Event(), []
+    context.setJobGroup(group, "timed run", interruptOnCancel=True)
+
+    def cancel() -> None:
+        stop.set()
+        context.cancelJobGroup(group)
+
+    timer = threading.Timer(max(timeout, 0), cancel)
+    try:
+        if timeout >= 0:
+            timer.start()
+        found = texts(run(layout, model, k))
+        bound = time.monotonic()
+        rows = found.collect()
+    except Exception:
+        if not stop.is_set():
+            raise
+        bound = time.monotonic()
+    finally:
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)
+    ms = lambda a, b: int(1000 * (b - a))
+    end = time.monotonic()
+    return ([] if stop.is_set() else rows), {"binding_ms": ms(start, bound), "pumping_ms": ms(bound, end), "total_ms": ms(start, end), "timed_out": stop.is_set()}
+
+
 def run_all_nodes(layout: Layout, model: Node, k: int | None = 20) -> DataFrame:
     """Results by node in long form: doc_id, node_uuid, rank, score, field, text, field_score. Children of patterns are not nodes."""
     validate(model)

@@ -182,6 +182,50 @@ def documents_to_json(entities: DataFrame) -> DataFrame:
     return d.select("doc_id", F.to_json(F.struct(F.col("doc_id").cast("string").alias("name"), F.col("es.e").alias("entities"))).alias("content"))
 
 
+ASSIGNMENTS = f"struct<assignments:array<struct<field:string,entity:{ENTITY}>>>"
+
+
+def extractions_from_json(files: DataFrame) -> DataFrame:
+    """doc_id, field, type, text and box of the assignments in extraction files (doc_id, content)."""
+    x = files.select("doc_id", F.inline(F.from_json("content", ASSIGNMENTS)["assignments"])).where("entity is not null")
+    box = [F.col("entity.bbox.ix.a").alias("x0"), F.col("entity.bbox.ix.b").alias("x1"), F.col("entity.bbox.iy.a").alias("y0"), F.col("entity.bbox.iy.b").alias("y1")]
+    return x.select("doc_id", "field", "entity.type", "entity.text", *box)
+
+
+def extractions_to_json(results: DataFrame) -> DataFrame:
+    """doc_id, rank, content: extraction files of results with f__ columns."""
+    fields = [c[3:] for c in results.columns if c.startswith("f__")]
+    side = lambda f, c: F.struct(F.col(f"f__{f}.{c}0").alias("a"), F.col(f"f__{f}.{c}1").alias("b"))
+    entity = lambda f: F.struct(F.col(f"f__{f}.type").alias("type"), F.col(f"f__{f}.text").alias("text"), F.struct(side(f, "x").alias("ix"), side(f, "y").alias("iy")).alias("bbox"))
+    each = F.array(*[F.when(F.col(f"f__{f}").isNotNull(), F.struct(F.lit(f).alias("field"), entity(f).alias("entity"))) for f in fields])
+    return results.select("doc_id", "rank", F.to_json(F.struct(F.filter(each, lambda x: x.isNotNull()).alias("assignments"))).alias("content"))
+
+
+def extraction_rows(layout, assigned: DataFrame, fields: list[str]) -> DataFrame:
+    """doc_id and f__ columns, as results have them, of assignments (doc_id, field, type, text, box): the entities that they mean."""
+    from ..operators.accuracy import matched_entities
+    from ..plans.planner import ENTITY as COLUMNS
+
+    m = matched_entities(assigned, layout.entities).select("doc_id", "field", "entity_id")
+    e = layout.entities.select("doc_id", F.struct(*COLUMNS).alias("e"))
+    x = m.alias("m").join(e.alias("e"), (F.col("m.doc_id") == F.col("e.doc_id")) & (F.col("m.entity_id") == F.col("e.e.entity_id"))).select("m.doc_id", "field", "e.e")
+    return x.groupBy("doc_id").agg(*[F.first(F.when(F.col("field") == f, F.col("e")), ignorenulls=True).alias(f"f__{f}") for f in fields])
+
+
+def targets_to_json(targets: DataFrame, schema: DataFrame, tags: DataFrame) -> DataFrame:
+    """doc_name, content: of each document the JSON of its targets, tags and notes, keys in order; with ``targets_file`` they make a file."""
+    words = F.col("words") if "words" in targets.columns else F.lit(None).cast("array<struct<text:string,bbox:struct<ix:struct<a:double,b:double>,iy:struct<a:double,b:double>>>>")
+    value = F.struct(F.coalesce(F.col("validated") if "validated" in targets.columns else F.lit(None).cast("boolean"), F.lit(False)).alias("geometry_validated"), "text", words.alias("words"))
+    t = targets.join(schema.select("field"), "field", "left_semi").groupBy("doc_name").agg(F.sort_array(F.collect_list(F.struct("field", value.alias("value")))).alias("assignments"))
+    x = tags.select("doc_name", "doc_tags", "notes").join(t, "doc_name", "full").withColumn("doc_tags", F.coalesce("doc_tags", F.array().cast("array<string>")))
+    return x.select("doc_name", F.to_json(F.struct("doc_name", "doc_tags", "notes", F.struct("assignments").alias("targets"))).alias("content"))
+
+
+def targets_file(docs: list[str], schema: list[dict]) -> str:
+    """A target file of documents, as targets_to_json gives them, and of a schema (field, type, is_label)."""
+    return json.dumps({"doc_targets": [json.loads(d) for d in docs], "schema": schema}, indent=2, sort_keys=True) + "\n"
+
+
 TARGETS = "struct<doc_targets:array<struct<doc_name:string,targets:struct<assignments:array<struct<field:string,value:struct<text:string,words:array<struct<text:string,bbox:struct<ix:struct<a:double,b:double>,iy:struct<a:double,b:double>>>>,geometry_validated:boolean>>>>,doc_tags:array<string>,notes:string>>,schema:array<struct<field:string,type:string,is_label:boolean>>>"
 
 
@@ -194,8 +238,8 @@ def targets_from_json(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 def save_results(results: DataFrame, path: str) -> None:
-    """One folder per document."""
-    results.write.mode("overwrite").partitionBy("doc_id").json(path)
+    """One line per extraction; documents keep their name as a column, as a folder for each would be too many of them."""
+    results.write.mode("overwrite").json(path)
 
 
 def load_results(spark: SparkSession, path: str) -> DataFrame:

@@ -43,7 +43,7 @@ def test_numbers_dates_and_dollars(value):
 
 
 def test_text_properties(value):
-    e = k.text_property_errors(F.lit("AB-123"), at_least=8, legal_chars="AB123", min_counts={"0123456789": 4}, max_proportions={"AB": 0.25})
+    e = k.text_property_errors(F.lit("AB-123"), length={"at_least": 8}, legal_chars="AB123", min_char_counts=[{"chars": "0123456789", "count": 4}], max_char_proportions=[{"chars": "AB", "proportion": 0.25}])
     assert value(e) == [2 + 1 + 1 + 0.5]
 
 
