@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, grouped, read, roots, stored
+from .common import components, discard, grouped, lean, read, roots, stored
 
 THRESHOLD, TILE, SAMPLE, STEP = 0.98, 1024, 4096, 16
 
@@ -102,7 +102,7 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, s
             yield pa.RecordBatch.from_arrays([*b.columns[1:], rows, pa.array(out)], names=["label", "rep", "n", "v", "cell"])
 
     kind = reps.schema["label"].dataType.simpleString()
-    r = cells = stored(reps.select("v", "label", "rep", "n").mapInArrow(first, f"label {kind}, rep long, n long, v array<double>, cell int").withColumn("d", F.size("v")), "cells")
+    r = cells = stored(reps.select("v", "label", "rep", "n").mapInArrow(lean(first), f"label {kind}, rep long, n long, v array<double>, cell int").withColumn("d", F.size("v")), "cells")
     full = r.groupBy("label", "d", "cell").agg(F.ceil(F.count("*") / F.lit(float(tile))).cast("int").alias("blocks"))
     beside = full.select("label", "d", (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("above"))
     below = full.select("label", "d", (F.col("cell") + 1).alias("cell"), F.col("blocks").alias("below"))
@@ -130,7 +130,7 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, s
                 low, at = rep[roots(len(rep), i, j)], np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(links[at].astype(np.int64)), pa.array(low[at])], names=["rep", "links", "low"])
 
-    links = stored(tiles.mapInArrow(compared, "rep long, links long, low long"), "links")
+    links = stored(tiles.mapInArrow(lean(compared), "rep long, links long, low long"), "links")
     discard(cells)
     groups = components(links, "rep", "low")
     total = links.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_rows, components, discard, free_names, grouped, read, roots, small_batches, stored
+from .common import binary_rows, components, discard, free_names, grouped, lean, read, roots, small_batches, stored
 
 THRESHOLD, WORDS, TREES, DEEPEST, TARGET, MISSES, TILE = 0.8, 5, 20, 8, 0.99995, 0.005, 512
 #: Lengths of prefixes, from the longest. The first four labels of a tree have 16 bits and fill a long (path), the others 8 bits and fill an int (deep).
@@ -110,7 +110,7 @@ def signed(docs: DataFrame, trees: int) -> DataFrame:
                 sigs.append(signature(s, seeds) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], names=["doc_id", "h", "key", "size", "sig"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, key binary, size int, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(lean(run), "doc_id long, h long, key binary, size int, sig binary")
 
 
 def _candidates(now: np.ndarray, before: np.ndarray | None, size: np.ndarray, own: np.ndarray, tile: tuple[int, int, int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +159,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, ta
             tree = np.tile(np.arange(trees, dtype=np.int32), len(path))
             yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(path.view(np.int64).ravel()), pa.array(deep.view(np.int32).ravel()), pa.array(np.repeat(b.column(0).to_numpy(), trees))], names=["tree", "path", "deep", "node"])
 
-    entries = reps.select("node", "sig").mapInArrow(entered, "tree int, path long, deep int, node long")
+    entries = reps.select("node", "sig").mapInArrow(lean(entered), "tree int, path long, deep int, node long")
     full = lambda e: e.groupBy("tree", "k1", "k2").agg(F.count("*").alias("c")).where("c > 1")
 
     def keyed(e: DataFrame, depth: int) -> DataFrame:
@@ -206,12 +206,12 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, ta
 
         kind = "k1 long, k2 int, tree int, a int, b int, own int, node long"
         known = reps.join(met.select("node").distinct(), "node", "left_semi").select("node", "sig", "size")
-        met = stored(dealt(met.join(known, "node").select(*tiles, "own", "node", "sig", "size")).mapInArrow(near, kind), "met")
+        met = stored(dealt(met.join(known, "node").select(*tiles, "own", "node", "sig", "size")).mapInArrow(lean(near), kind), "met")
         needed = met.select("node").distinct()
         for old in sets:
             needed = needed.join(old, "node", "left_anti")
         needed = stored(reps.join(needed, "node", "left_semi").select("node", "key", F.col("rep").alias("doc_id")), "needed")
-        texts = _maybe(docs, needed).join(needed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(whole, "key binary, set binary").dropDuplicates(["key"])
+        texts = _maybe(docs, needed).join(needed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lean(whole), "key binary, set binary").dropDuplicates(["key"])
         sets.append(stored(texts.join(needed.select("node", "key"), "key").select("node", "set"), "sets"))
         told = met.join(reduce(DataFrame.unionByName, sets), "node").join(reps.select("node", "n", "sig").join(met.select("node").distinct(), "node", "left_semi"), "node").select(*tiles, "own", "node", "n", "sig", "set")
 
@@ -232,7 +232,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, ta
                     bins = np.bincount(np.clip(((alike - threshold) / (1 - threshold) * BINS).astype(int), 0, BINS - 1), minlength=BINS)
                     yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(count[at].astype(np.int64)), pa.array(low[at]), pa.array([bins.tolist()] + [None] * (len(at) - 1), pa.list_(pa.int64()))], names=["node", "links", "low", "bins"])
 
-        links.append(stored(dealt(told).mapInArrow(verified, "node long, links long, low long, bins array<long>"), "links"))
+        links.append(stored(dealt(told).mapInArrow(lean(verified), "node long, links long, low long, bins array<long>"), "links"))
         for r in links[-1].where("bins is not null").select(F.posexplode("bins").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect():  # a row per bin
             hist[r["bin"]] += r["n"]
         discard(met, needed)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, stored, sums_before
+from .common import lean, read, small_batches, stored, sums_before
 from .tokens import encoder, vocabulary
 
 CAPACITY, END, WEIGHTS = 2048, 0, (1.0, 0.05, 0.05)
@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, most_documents: int | None = None, most_cost: int | None = None) -> DataFrame:
@@ -125,7 +125,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             bin_, offset = plan.place(b.column(3).to_numpy(), b.column(5).to_numpy())
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(bin_), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return p.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return p.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import lean, read, small_batches
 
 KINDS = ("assign", "access", "hex", "random")
 #: The formats of the contract.
@@ -110,7 +110,7 @@ def scan(docs: DataFrame, tokenizer: str | None = None, most_chars_per_token: fl
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), SCHEMA)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

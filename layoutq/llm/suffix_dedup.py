@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, grouped, read, small_batches, stored
+from .common import discard, grouped, lean, read, small_batches, stored
 
 LENGTH, GRAM, HOT = 100, 32, 4096
 _RNG = np.random.default_rng(20)
@@ -278,9 +278,9 @@ def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
                 at = upto
 
     # p packs the anchor's place and, in seven bits each, how far before it the first window starts and how many follow
-    shared = docs.mapInArrow(lambda b: anchored(b, False), "f long").groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
+    shared = docs.mapInArrow(lean(lambda b: anchored(b, False)), "f long").groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
     shared = stored(shared, "anchors")
-    r = stored(docs.mapInArrow(lambda b: anchored(b, True), "f long, c long, doc long, p long").join(shared, "f"), "records")
+    r = stored(docs.mapInArrow(lean(lambda b: anchored(b, True)), "f long, c long, doc long, p long").join(shared, "f"), "records")
     discard(shared)
     firsts = stored(r.groupBy("f", "c").agg(F.min(F.struct("doc", "p")).alias("x"), F.count("*").alias("n")).select("f", "c", "x.doc", "x.p", "n"), "contents")
     begin = F.shiftright("p", 14) - F.shiftright("p", 7).bitwiseAND(F.lit(127))
@@ -307,7 +307,7 @@ def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
             kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["f", "window", "doc", "s", "bytes"])
 
-    parts = stored(docs.where("text is not null").join(todo, "doc").select("doc", "text", "xs").mapInArrow(cut, "f long, window boolean, doc long, s long, bytes binary"), "parts")
+    parts = stored(docs.where("text is not null").join(todo, "doc").select("doc", "text", "xs").mapInArrow(lean(cut), "f long, window boolean, doc long, s long, bytes binary"), "parts")
 
     def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -325,7 +325,7 @@ def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
         if held:
             yield done()
 
-    light = parts.where("not window").repartition("f").sortWithinPartitions("f").select("f", "doc", "s", "bytes").mapInArrow(sorted_out, "doc long, s long, e long")
+    light = parts.where("not window").repartition("f").sortWithinPartitions("f").select("f", "doc", "s", "bytes").mapInArrow(lean(sorted_out), "doc long, s long, e long")
     windows = parts.where("window")
     least = windows.groupBy("f", "bytes").agg(F.min(F.struct("doc", "s")).alias("x"), F.count("*").alias("n")).where("n > 1").select("f", "bytes", F.col("x.doc").alias("d0"), F.col("x.s").alias("s0"))
     windows = windows.join(least, ["f", "bytes"]).where("doc <> d0 or s <> s0").select("doc", "s", (F.col("s") + length).alias("e"))
@@ -355,7 +355,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.binary()), *[pa.array(c, pa.int64()) for c in out[1:]]], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     x = keyed.join(found, "doc", "left").select("doc_id", "text", "xs")
-    return x.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return x.mapInArrow(lean(run), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, stored
+from .common import lean, read, small_batches, stored
 from .tokens import encoder, vocabulary
 
 SHARD, END, BASE, SYMBOLS, ROUNDS, PAIRS, LEAST = 1 << 20, 1, 49_408, 1 << 16, 12, 512, 24
@@ -158,7 +158,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, shard: int = SHA
             yield row()
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return stored(ordered.mapInArrow(run, SCHEMA), "shards")
+    return stored(ordered.mapInArrow(lean(run), SCHEMA), "shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NONE), pa.array(starts + r["before"] + base[r["part"]]), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     small = shards.select("part", "before", "docs", "lengths", "rules", "expansions", "symbols")
-    return small.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return small.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

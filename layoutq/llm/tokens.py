@@ -50,7 +50,7 @@ class Encoder:
                 out[-1] += " " + p
         return [p for p in out if p]
 
-    def _learn(self, new: list[str], chunk: int = 20_000) -> None:
+    def _learn(self, new: list[str], chunk: int = 4_000) -> None:
         for at in range(0, len(new), chunk):
             some = new[at : at + chunk]
             e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
