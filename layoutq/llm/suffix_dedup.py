@@ -282,11 +282,11 @@ def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     shared = stored(shared, "anchors")
     r = stored(docs.mapInArrow(lean(lambda b: anchored(b, True)), "f long, c long, doc long, p long").join(shared, "f"), "records")
     discard(shared)
-    firsts = stored(r.groupBy("f", "c").agg(F.min(F.struct("doc", "p")).alias("x"), F.count("*").alias("n")).select("f", "c", "x.doc", "x.p", "n"), "contents")
+    firsts = stored(r.groupBy("f", "c").agg(F.min(F.struct("doc", "p")).alias("x")).select("f", "c", "x.doc", "x.p"), "contents")
     begin = F.shiftright("p", 14) - F.shiftright("p", 7).bitwiseAND(F.lit(127))
     whole = [begin.alias("s"), (begin + F.col("p").bitwiseAND(F.lit(127)) + length).alias("e")]
-    again = firsts.where("n > 1").select("f", "c", F.col("doc").alias("d0"), F.col("p").alias("p0"))
-    copies = r.join(again, ["f", "c"]).where("doc <> d0 or p <> p0").select("doc", *whole)
+    # all but the earliest of each content; by its place as well, so that a content with many copies is spread over all tasks
+    copies = r.join(firsts, ["f", "c", "doc", "p"], "left_anti").select("doc", *whole)
     many = firsts.groupBy("f").agg(F.count("*").alias("kinds")).where("kinds > 1")
     todo = firsts.join(many, "f").select("doc", F.struct("f", "kinds", *whole).alias("x")).groupBy("doc").agg(F.collect_list("x").alias("xs"))
 
