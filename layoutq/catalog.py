@@ -5,6 +5,7 @@ Documents are the order forms of sources.layouts, and grids of the texts of ``be
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import geometry, kernels
 from .operators import accuracy, entities, predicates, spatial
 from .plans import ir, planner
-from .sources import layouts
+from .sources import layouts, ocr
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,10 +59,10 @@ def scalar(name: str, table: str, key: str, column: Callable[[], F.Column], sql:
     query(name, sql and f"SELECT {key}, round(CAST({sql} AS DOUBLE), 6) AS score FROM {table}")(lambda spark, d: layouts.read(spark, d, table).select(*key.split(", "), F.round(column().cast("double"), 6).alias("score")))
 
 
-def as_entity(text: F.Column, type_: str | F.Column = "Text", lines: F.Column | None = None) -> ir.Entity:
+def as_entity(text: F.Column, type_: str | F.Column = "Text", lines: F.Column | None = None, likeness: F.Column | None = None) -> ir.Entity:
     """A lone entity around a text, for predicates outside documents."""
     zero = F.lit(0.0)
-    return ir.Entity(F.struct(F.lit(0).alias("entity_id"), F.lit(type_).alias("type"), text.alias("text"), *[zero.alias(c) for c in ("x0", "x1", "y0", "y1")], F.array().cast("array<bigint>").alias("word_ids"), F.size(F.split(text, " ")).alias("n_words"), (F.lit(1) if lines is None else lines).alias("line_count"), F.lit(1.0).alias("maximality"), F.lit(None).cast("double").alias("likeness"), F.lit(None).cast("double").alias("value")))
+    return ir.Entity(F.struct(F.lit(0).alias("entity_id"), F.lit(type_).alias("type"), text.alias("text"), *[zero.alias(c) for c in ("x0", "x1", "y0", "y1")], F.array().cast("array<bigint>").alias("word_ids"), F.size(F.split(text, " ")).alias("n_words"), (F.lit(1) if lines is None else lines).alias("line_count"), F.lit(1.0).alias("maximality"), (F.lit(None).cast("double") if likeness is None else likeness).alias("likeness"), F.lit(None).cast("double").alias("value")))
 
 
 def on(p: ir.Predicate, *columns: str) -> Callable[[], F.Column]:
@@ -91,6 +92,9 @@ scalar("text_matches_pattern", "customer", "c_custkey", on(predicates.text_match
 scalar("text_properties", "part", "p_partkey", on(predicates.text_properties_are(length={"at_most": 12}, min_char_counts=[{"chars": "AEIOU", "count": 3}], tolerance=0, taper=9), "p_type"), f"CASE WHEN greatest(0, length(p_type) - 12) + greatest(0, 3 - {count_sql('p_type', 'AEIOU')}) = 0 THEN 1 ELSE 1 - least(1, (greatest(0, length(p_type) - 12) + greatest(0, 3 - {count_sql('p_type', 'AEIOU')})) / 10.0) END")
 scalar("text_properties_by_share", "part", "p_partkey", on(predicates.text_properties_are(length={"at_least": 18}, legal_chars="ABCDEFGHIJKLMNOPQRSTUVWXYZ", min_char_proportions=[{"chars": "AEIOU", "proportion": 0.4}], max_char_proportions=[{"chars": "LNR", "proportion": 0.1}], tolerance=1), "p_type"), f"1 - least(1, greatest(0, greatest(0, 18 - length(p_type)) + length(regexp_replace(p_type, '[A-Z]', '', 'g')) + greatest(0, 0.4 * length(p_type) - {count_sql('p_type', 'AEIOU')}) + greatest(0, {count_sql('p_type', 'LNR')} - 0.1 * length(p_type)) - 1) / (floor(length(p_type) / 2) + 1))")
 scalar("text_properties_without_taper", "part", "p_partkey", on(predicates.text_properties_are(max_char_proportions=[{"chars": "EO", "proportion": 0.11}], tolerance=0, taper=0), "p_type"), f"CASE WHEN {count_sql('p_type', 'EO')} > 0.11 * length(p_type) THEN 0 ELSE 1 END")
+scalar("text_matches_pattern_loosely", "customer", "c_custkey", on(predicates.text_matches_pattern("Kustomer#99999", {"9": "0123456789"}), "c_name"), "1 - least(1, greatest(0, levenshtein(regexp_replace(c_name, '[0-9]', '9', 'g'), 'Kustomer#99999') - 1) / (floor(greatest(length(c_name), 14) / 2) + 1))")
+for _name, _type in (("is_person_name", "PersonName"), ("is_address", "Address")):
+    scalar(_name, "part", "p_partkey", lambda name=_name, type_=_type: getattr(predicates, name).score(ir.Context(), as_entity(F.col("p_name"), F.when(F.col("p_partkey") % 3 > 0, type_).otherwise("Text"), likeness=F.when(F.col("p_partkey") % 5 > 0, F.col("p_size") / 50.0))), "CASE WHEN p_partkey % 3 > 0 AND p_partkey % 5 > 0 THEN p_size / 50.0 ELSE 0 END")
 scalar("word_count_is", "part", "p_partkey", on(predicates.word_count_is({1: 0.0, 2: 0.5, 4: 1.0}), "p_name"), "CASE WHEN len(string_split(p_name, ' ')) <= 1 THEN 0 WHEN len(string_split(p_name, ' ')) = 2 THEN 0.5 WHEN len(string_split(p_name, ' ')) = 3 THEN 0.75 ELSE 1 END")
 scalar("line_count_is", "part", "p_partkey", lambda: predicates.line_count_is({1: 0.0, 10: 1.0, 20: 0.5}).score(ir.Context(), as_entity(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, "Address").otherwise("Text"), F.col("p_size"))), "CASE WHEN p_size % 2 = 1 OR p_size <= 1 THEN 0 WHEN p_size <= 10 THEN (p_size - 1) / 9.0 WHEN p_size <= 20 THEN 1 - (p_size - 10) * 0.05 ELSE 0.5 END")
 scalar("have_unequal_text", "customer", "c_custkey", on(spatial.have_unequal_text(), "c_name", "c_mktsegment"), "CASE WHEN c_name = c_mktsegment THEN 0 ELSE 1 END")
@@ -296,6 +300,8 @@ single_with_region("nothing_between_right_edge", lambda: spatial.nothing_between
 single_with_region("nothing_between_top_edge", lambda: spatial.nothing_between_edge("TOP"), Region(("p.a_x0", "p.a_x1"), ("0.0", "p.a_y0"), True, False, 0.5))
 single_with_region("nothing_between_bottom_edge", lambda: spatial.nothing_between_edge("BOTTOM"), Region(("p.a_x0", "p.a_x1"), ("p.a_y1", "p.dy"), True, False, 0.5))
 single_with_region("empty_line_above", spatial.empty_line_above, Region(("p.a_x0", "p.a_x1"), ("p.a_y0 - 1", "p.a_y0"), True))
+single_with_region("box_unimpinged", lambda: spatial.box_unimpinged(lambda ctx, e: (e.x0 - 1, e.x1 + 12, e.y1, e.y1 + 2 * ctx.mlh), "VERTICAL", 1, maximum_impingement=0.6), Region(("p.a_x0 - 1", "p.a_x1 + 12"), ("p.a_y1", "p.a_y1 + 2"), True, False, 0.6))
+single("nop", lambda: predicates.nop(1), "1.0")
 single("in_pixel_region", lambda: spatial.is_in_pixel_page_region(0.0, 24.0, 1.0, 8.0), "CASE WHEN a.x1 <= 24 AND a.y0 >= 1 AND a.y1 <= 8 THEN 1.0 ELSE 0.0 END")
 single("oriented_horizontally", spatial.is_oriented_horizontally, "CASE WHEN a.x1 - a.x0 >= 1 THEN 1.0 ELSE 0.0 END")
 
@@ -355,6 +361,17 @@ combined("private_fields", lambda: ir.combine(ir.extract(exact("_label", "Total:
 combined("any_rule", lambda: ir.extract(ir.any_rule_holds(predicates.penalize(predicates.text_equals("Price", 0, 0), 0.5)("a"), predicates.text_equals("Quantity", 0, 0)("a"))), {"a": 6}, "1")
 
 
+def _from_file(model: Callable[[], ir.Node]) -> Callable[[], ir.Node]:
+    """The model, written to a file's text and read again."""
+    from .sources import files
+
+    return lambda: files.load_model_from_json(json.dumps(files.model_json(model())))
+
+
+combined("model_file", _from_file(lambda: ir.combine(total_model(), date_model(), ir.extract(exact("none", "Subtotal:")))), _ALL | {"none": None}, "(1 + 0.991 + 1 + 1) / 5")
+combined("merge_and_empty", lambda: ir.Merge(children=(total_model(), ir.Empty(), date_model().with_name("dates").with_extra_rules(spatial.left_to_right("when", "date")))), _ALL, "(1 + 0.991 + 1 + 1) / 4")
+
+
 @query("top_k", f"WITH {FORMS}, r AS (SELECT doc_id, text, x0, y0, 1 - least(1, levenshtein(upper(text), 'PRICE') / 6.0) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY 1 - least(1, levenshtein(upper(text), 'PRICE') / 6.0) DESC) AS rank FROM f WHERE abs(length(text) - 5) <= 5) SELECT doc_id, rank, round(CAST(s AS DOUBLE), 6) AS score FROM r WHERE rank <= 2 AND s > 0.1")
 def top_k(spark: SparkSession, d: str) -> DataFrame:
     r = planner.run(layouts.order_form(spark, d), ir.extract(predicates.text_equals("Price", 0, 5)("a")), 2)
@@ -366,14 +383,21 @@ def order_words(spark: SparkSession, d: str) -> DataFrame:
     return layouts.order_form_words(spark, d).select("doc_id", "text", "x0", "x1", "y0", "y1").distinct()
 
 
-@query("typed_entities", f"WITH {FORMS} SELECT 'Text' AS type, count(*) AS n FROM f UNION ALL SELECT 'Date', count(*) FROM f WHERE regexp_full_match(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') UNION ALL SELECT 'DollarAmount', count(*) FROM f WHERE regexp_full_match(text, '[0-9]+\\.[0-9]{{2}}')")
+_SURE = "CASE WHEN s = 0 THEN 0 ELSE least(1, greatest(0, s - 0.01 + 0.001)) END"
+
+
+@query("typed_entities", f"WITH {FORMS}, d AS (SELECT {date_sql('text')} AS s FROM f), m AS (SELECT {_SURE} AS s FROM (SELECT {dollar_sql('text')} AS s FROM f)) SELECT 'Text' AS type, count(*) AS n, NULL::DOUBLE AS likeness FROM f UNION ALL SELECT 'Date', count(*), round(sum(s), 4) FROM d WHERE s >= 0.7 UNION ALL SELECT 'DollarAmount', count(*), round(sum(s), 4) FROM m WHERE s >= 0.5")
 def typed_entities(spark: SparkSession, d: str) -> DataFrame:
-    return layouts.order_form(spark, d).entities.where("likeness is null or likeness >= 0.9").groupBy("type").agg(F.count("*").alias("n"))
+    """How many entities of each type there are, and how likely they are together."""
+    return layouts.order_form(spark, d).entities.groupBy("type").agg(F.count("*").alias("n"), F.round(F.sum("likeness"), 4).alias("likeness"))
 
 
-@query("median_line_height", f"WITH {FORMS} SELECT doc_id, 1.0::DOUBLE AS ctx_mlh FROM g")
+@query("median_line_height", f"WITH {FORMS} SELECT doc_id, median(h) AS ctx_mlh FROM (SELECT DISTINCT doc_id, slot, 1 + (slot % 4) * 0.25::DOUBLE AS h FROM w) GROUP BY 1")
 def median_line_height(spark: SparkSession, d: str) -> DataFrame:
-    return entities.median_line_height(layouts.order_form(spark, d).entities)
+    """Words of four heights."""
+    w = layouts.order_form_words(spark, d).dropDuplicates(["doc_id", "word_id"]).withColumn("y1", F.col("y0") + 1 + (F.col("word_id") % 4) * 0.25)
+    t = w.select("doc_id", "page_no", F.lit("Text").alias("type"), "text", "x0", "x1", "y0", "y1", F.array("word_id").alias("word_ids"), F.lit(1).alias("n_words"))
+    return entities.median_line_height(entities.completed(t, distinct=True))
 
 
 @query("reading_order", f"WITH {FORMS}, l AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY y0) - 1 AS line_no FROM w) SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, count(*) - 1 AS last_place, string_agg(text, ' ' ORDER BY x0, text) AS line FROM l GROUP BY 1, 2")
@@ -422,6 +446,77 @@ def grid_phrases(spark: SparkSession, d: str) -> DataFrame:
     return p.select("doc_id", F.get("ws", F.lit(0))["y0"].alias("y0"), F.array_join(F.col("ws.text"), " ").alias("text"), "ocr_score", "maximality")
 
 
+_GRID_PHRASES = SQL["grid_phrases"]
+
+
+@query("phrases", _GRID_PHRASES)
+def phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The same by growing phrases word by word, as for words anywhere."""
+    p = entities.phrases(entities.placed(layouts.grid_words(items(spark, d)), layouts.grid_pages(items(spark, d)))[0])
+    return p.select("doc_id", F.get("ws", F.lit(0))["y0"].alias("y0"), F.array_join(F.col("ws.text"), " ").alias("text"), F.round("ocr_score", 6).alias("ocr_score"), "maximality")
+
+
+@query("line_phrases", f"WITH {_LINES}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line) AS m FROM v), k AS (SELECT doc_id, line FROM v GROUP BY 1, 2 HAVING bool_and(length(text) < 12)) SELECT doc_id, CAST(line AS DOUBLE) AS y0, array_to_string(list(text ORDER BY x), ' ') AS text, 1.0::DOUBLE AS maximality FROM n JOIN k USING (doc_id, line) GROUP BY doc_id, line UNION ALL SELECT doc_id, CAST(line AS DOUBLE), text, 0.0 FROM n JOIN k USING (doc_id, line) WHERE m > 1")
+def line_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Lines given beforehand; a word of twelve characters counts as unsound, and takes its line with it."""
+    w = layouts.grid_words(items(spark, d)).withColumn("line_no", F.col("y0").cast("int")).withColumn("sound", F.length("text") < 12)
+    p = entities.line_phrases(w)
+    return p.select("doc_id", F.get("ws", F.lit(0))["y0"].alias("y0"), F.array_join(F.col("ws.text"), " ").alias("text"), "maximality")
+
+
+def _ocr_files(spark: SparkSession, d: str, content: F.Column) -> DataFrame:
+    """doc_id and the content of an OCR file of each item of benchmark, from arrays of its words in lines (ls)."""
+    w = layouts.grid_words(items(spark, d))
+    lines = w.groupBy("doc_id", "y0").agg(F.sort_array(F.collect_list(F.struct("x0", "x1", "y0", "y1", "text"))).alias("ws"))
+    return lines.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("y0", "ws"))), lambda x: x["ws"]).alias("ls")).select("doc_id", content.alias("content"))
+
+
+def _read_words(words: DataFrame) -> DataFrame:
+    return words.select("doc_id", "text", "x0", "x1", "y0", "y1")
+
+
+_GRID_WORDS = SQL["grid_words"]
+
+
+@query("google_words", _GRID_WORDS)
+def google_words(spark: SparkSession, d: str) -> DataFrame:
+    """Files as Google's OCR makes them; a vertex leaves out coordinates that are 0."""
+    some = lambda c: F.when(c != 0, c)
+    vertices = lambda w: F.array(*[F.struct(some(w[x]).alias("x"), some(w[y]).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
+    word = lambda w: F.struct(F.struct(vertices(w).alias("vertices")).alias("boundingBox"), F.transform(F.split(w["text"], ""), lambda c: F.struct(c.alias("text"))).alias("symbols"))
+    blocks = F.transform("ls", lambda ws: F.struct(F.array(F.struct(F.transform(ws, word).alias("words"))).alias("paragraphs")))
+    page = F.struct(F.lit(10_000).alias("width"), F.lit(10_000).alias("height"), blocks.alias("blocks"))
+    return _read_words(ocr.from_google(_ocr_files(spark, d, F.to_json(F.struct(F.struct(F.array(page).alias("pages")).alias("fullTextAnnotation")))))[0])
+
+
+@query("hocr_words", _GRID_WORDS.replace("SELECT doc_id, text, CAST(x AS", "SELECT doc_id, text, CAST(40 + length(text) AS INTEGER) AS confidence, CAST(x AS"))
+def hocr_words(spark: SparkSession, d: str) -> DataFrame:
+    """HOCR files, whose second page is like the first; words of the first are read."""
+    at = lambda c: c.cast("int").cast("string")
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    word = lambda w: F.concat(F.lit("<span class='ocrx_word' id='w' title='bbox "), at(w["x0"] + 7), F.lit(" "), at(w["y0"] + 5), F.lit(" "), at(w["x1"] + 7), F.lit(" "), at(w["y1"] + 5), F.lit("; x_wconf "), (40 + F.length(w["text"])).cast("string"), F.lit("'><strong>"), escaped(w["text"]), F.lit("</strong></span>"))
+    lines = F.array_join(F.transform("ls", lambda ws: F.concat(F.lit("<span class='ocr_line'>"), F.array_join(F.transform(ws, word), "\n"), F.lit("</span>"))), "\n")
+    page = F.concat(F.lit("<div class='ocr_page' id='p' title='image \"a\"; bbox 7 5 10000 10000; ppageno 0'>"), lines, F.lit("</div>"))
+    words = ocr.from_hocr(_ocr_files(spark, d, F.concat(F.lit("<?xml version='1.0'?><html><body>"), page, page, F.lit("</body></html>"))))[0]
+    return words.where("page_no = 0").select("doc_id", "text", "x0", "x1", "y0", "y1", "confidence")
+
+
+@query("ibocr_words", _GRID_WORDS)
+def ibocr_words(spark: SparkSession, d: str) -> DataFrame:
+    word = lambda w: F.struct(w["text"].alias("word"), F.lit(0).alias("page"), *[w[a].alias(b) for a, b in (("x0", "start_x"), ("x1", "end_x"), ("y0", "start_y"), ("y1", "end_y"))])
+    layout = F.struct(F.struct(F.lit(10_000).alias("width"), F.lit(10_000).alias("height")).alias("layout"))
+    return _read_words(ocr.from_ibocr(_ocr_files(spark, d, F.to_json(F.array(F.struct(F.array(layout).alias("metadata_list"), F.transform("ls", lambda ws: F.transform(ws, word)).alias("lines"))))))[0])
+
+
+@query("document_files", f"WITH {FORMS} SELECT doc_id, type, text, x0, x1, y0, y1 FROM f, (VALUES ('Text', '.*'), ('Date', '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'), ('DollarAmount', '[0-9]+[.][0-9]{{2}}')) AS k(type, pattern) WHERE regexp_full_match(text, pattern)")
+def document_files(spark: SparkSession, d: str) -> DataFrame:
+    """Typed entities, written as document files and read again."""
+    from .sources import files
+
+    e = layouts.order_form(spark, d).entities.where("likeness is null or likeness >= 0.9")
+    return files.documents_from_json(files.documents_to_json(e))[0].select("doc_id", "type", "text", "x0", "x1", "y0", "y1")
+
+
 @query("page_offsets", "WITH p AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS page_no, len(string_split(text, chr(10))) AS h FROM conversations) SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, CAST(coalesce(sum(h) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS y0 FROM p")
 def page_offsets(spark: SparkSession, d: str) -> DataFrame:
     t = talks(spark, d)
@@ -462,12 +557,73 @@ def tag_slices(spark: SparkSession, d: str) -> DataFrame:
     return accuracy.sliced(fla(spark, d), tags, slices).withColumn("average_fla", F.round("average_fla", 9))
 
 
-@query("explain_scores", f"WITH {FORMS} SELECT doc_id, rule, 1.0::DOUBLE AS score FROM g, (VALUES ('text_equals'), ('is_date'), ('bottom_aligned'), ('left_to_right')) AS r(rule)")
+@query("field_groups", f"{_OUTCOMES}, a AS (SELECT doc_name, avg(hit) AS fla, avg(CASE WHEN field = 'value' THEN hit END) AS v FROM h GROUP BY 1) SELECT 'all' AS kind, 'all' AS name, count(*) AS docs, round(avg(fla), 9) AS average_fla FROM a UNION ALL SELECT 'field', field, count(*), round(avg(hit), 9) FROM h GROUP BY field UNION ALL SELECT 'group', 'amounts', count(*), round(avg(v), 9) FROM a UNION ALL SELECT 'group', 'both', count(*), round(avg(fla), 9) FROM a UNION ALL SELECT 'tag', 'F', count(*), round(avg(fla), 9) FROM a JOIN orders ON o_orderkey = doc_name WHERE o_orderstatus = 'F' UNION ALL SELECT 'slice', 'rest', count(*), round(avg(fla), 9) FROM a JOIN orders ON o_orderkey = doc_name WHERE o_orderstatus <> 'F'")
+def field_groups(spark: SparkSession, d: str) -> DataFrame:
+    tags = layouts.read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_name"), F.array("o_orderstatus").alias("doc_tags"))
+    config = {"doc_tags": ["F"], "field_groups": {"amounts": ["value"], "both": ["value", "date"]}, "slices": {"rest": {"exclude_doc_tags": ["F"]}}}
+    return accuracy.output_rows(outcomes(spark, d), tags, config).withColumn("average_fla", F.round("average_fla", 9))
+
+
+@query("match_amounts", "SELECT o_orderkey AS doc_name, 'value' AS field, printf('%.2f', o_totalprice) AS text, target, CAST(replace(printf('%.2f', o_totalprice), '.', '') = lower(regexp_replace(target, '[^0-9A-Za-z]', '', 'g')) AS INTEGER) AS hit FROM (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN printf('$ %.2f', o_totalprice) WHEN 1 THEN replace(printf('%.2f', o_totalprice), '.', ',') ELSE printf('%.2f USD', o_totalprice) END AS target FROM orders)")
+def match_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts are compared by their letters and digits."""
+    o = layouts.read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_name"), F.lit("value").alias("field"), "o_totalprice")
+    plain = F.format_string("%.2f", "o_totalprice")
+    target = F.when(F.col("doc_name") % 3 == 0, F.concat(F.lit("$ "), plain)).when(F.col("doc_name") % 3 == 1, F.replace(plain, F.lit("."), F.lit(","))).otherwise(F.concat(plain, F.lit(" USD")))
+    schema = spark.range(1).select(F.lit("value").alias("field"), F.lit("DollarAmount").alias("type"))
+    return accuracy.compared(o.withColumn("text", plain), o.withColumn("text", target), schema)
+
+
+_SOME_TARGETS = "t AS (SELECT o_orderkey AS doc_name, 'date' AS field FROM orders UNION ALL SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'date' WHEN 1 THEN 'amount' ELSE 'value' END FROM orders)"
+
+
+@query("target_errors", f"WITH {_SOME_TARGETS} SELECT doc_name, field, 'unknown field' AS error FROM t WHERE field = 'amount' UNION ALL SELECT doc_name, field, 'repeated field' FROM t GROUP BY 1, 2 HAVING count(*) > 1")
+def target_errors(spark: SparkSession, d: str) -> DataFrame:
+    o = layouts.read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_name"))
+    other = F.when(F.col("doc_name") % 5 == 0, "date").when(F.col("doc_name") % 5 == 1, "amount").otherwise("value")
+    t = o.withColumn("field", F.lit("date")).unionByName(o.withColumn("field", other))
+    return accuracy.target_errors(t, spark.range(1).select(F.explode(F.array(F.lit("date"), F.lit("value"))).alias("field")))
+
+
+@query("merged_targets", "WITH a AS (SELECT o_orderkey AS doc_name, 'date' AS field, o_orderstatus AS text, [o_orderstatus] AS tags, 'mine' AS notes FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_orderkey AS doc_name, 'date' AS field, o_orderpriority AS text, ['b', 'F'] AS tags, 'theirs' AS notes FROM orders WHERE o_orderkey % 3 = 0) SELECT coalesce(a.doc_name, b.doc_name) AS doc_name, coalesce(a.field, b.field) AS field, coalesce(a.text, b.text) AS text, array_to_string(list_sort(list_distinct(list_concat(coalesce(a.tags, []), coalesce(b.tags, [])))), ',') AS tags, concat_ws(chr(10), a.notes, b.notes) AS notes FROM a FULL JOIN b ON a.doc_name = b.doc_name AND a.field = b.field")
+def merged_targets(spark: SparkSession, d: str) -> DataFrame:
+    o = layouts.read(spark, d, "orders").withColumn("doc_name", F.col("o_orderkey")).withColumn("field", F.lit("date"))
+    mine = o.where("o_orderkey % 2 = 0").select("doc_name", "field", F.col("o_orderstatus").alias("text"), F.array("o_orderstatus").alias("doc_tags"), F.lit("mine").alias("notes"))
+    theirs = o.where("o_orderkey % 3 = 0").select("doc_name", "field", F.col("o_orderpriority").alias("text"), F.array(F.lit("b"), F.lit("F")).alias("doc_tags"), F.lit("theirs").alias("notes"))
+    return accuracy.merged_targets(mine, theirs).select("doc_name", "field", "text", F.array_join(F.sort_array("doc_tags"), ",").alias("tags"), "notes")
+
+
+@query("matched_entities", f"WITH {FORMS} SELECT doc_id, 'total' AS field, text, x0, y0 FROM f WHERE text = 'Total:' UNION ALL SELECT doc_id, 'heading', text, x0, y0 FROM f WHERE text = 'Price'")
+def matched_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Target values with boxes that are a little off."""
+    lay = layouts.order_form(spark, d)
+    t = lay.entities.where("type = 'Text' and text in ('Total:', 'Price', 'Date:')").select("doc_id", F.when(F.col("text") == "Total:", "total").when(F.col("text") == "Price", "heading").otherwise("far").alias("field"), "type", "text", "x0", "x1", *[(F.col(c) + F.when(F.col("text") == "Date:", 50.0).otherwise(0.4)).alias(c) for c in ("y0", "y1")])
+    m = accuracy.matched_entities(t, lay.entities)
+    e = lay.entities.select("doc_id", "entity_id", "x0", "y0")
+    return m.join(e, ["doc_id", "entity_id"]).select("doc_id", "field", "text", "x0", "y0")
+
+
+@query("word_difference", f"WITH {FORMS} SELECT doc_id, array_to_string(list(text ORDER BY y0, x0, text), ' ') AS words FROM (SELECT DISTINCT doc_id, text, x0, y0 FROM f WHERE (x0 = 0) <> (y0 <= 2)) GROUP BY 1")
+def word_difference(spark: SparkSession, d: str) -> DataFrame:
+    """Of the words on the left and those at the top, which are a little off, the ones that only one side has."""
+    w = layouts.order_form_words(spark, d).dropDuplicates(["doc_id", "text", "x0", "y0"])
+    one = lambda off: F.struct("text", *[(F.col(c) + off).alias(c) for c in ("x0", "x1", "y0", "y1")])
+    sides = w.groupBy("doc_id").agg(F.collect_list(F.when(F.col("x0") == 0, one(0.0))).alias("mine"), F.collect_list(F.when(F.col("y0") <= 2, one(0.01))).alias("theirs"))
+    left = F.transform(accuracy.word_difference(F.col("mine"), F.col("theirs")), lambda x: F.struct(F.round(x["y0"]).alias("y"), F.round(x["x0"]).alias("x"), x["text"].alias("t")))
+    return sides.select("doc_id", left.alias("l")).where("l is not null").select("doc_id", F.array_join(F.transform(F.sort_array("l"), lambda x: x["t"]), " ").alias("words"))
+
+
+_ALIGNED = taper_sql("abs(a.x0 - b.x0)", 1, 2)
+
+
+@query("explain_scores", f"WITH {FORMS}, s AS (SELECT a.doc_id, b.text AS b, {_ALIGNED} AS s FROM f a JOIN f b USING (doc_id) WHERE a.text = 'Price' AND (a.x0, a.y0) <> (b.x0, b.y0)) SELECT doc_id, rule, count(*) AS n, round(sum(CASE WHEN rule = 'are_aligned' THEN s WHEN rule = 'is_shorter' THEN 1 - length(b) / 50.0 ELSE 1 END), 6) AS score FROM s, (VALUES ('text_equals'), ('are_aligned'), ('is_shorter')) AS r(rule) WHERE s > 0.1 GROUP BY 1, 2")
 def explain_scores(spark: SparkSession, d: str) -> DataFrame:
+    """What each rule says of every extraction, summed by document; a model may bring predicates of its own."""
     lay = layouts.order_form(spark, d)
-    model = date_model()
-    model = model.with_rules(*ir.flattened(model.rules))
-    return planner.explained(lay, planner.run(lay, model, 1), model).select("doc_id", "rule", "score")
+    shorter = ir.Predicate("is_shorter", 1, lambda ctx, e: 1 - F.length(e.text) / 50.0, leniency=ir.ALL)
+    model = ir.extract(exact("a", "Price"), spatial.are_aligned("LEFT_SIDES", 1.0, 2.0)("a", "b"), fields=("a", "b"))
+    found = planner.run(lay, model, None).where("score > 0")
+    return planner.explained(lay, found, model.with_extra_rules(shorter("b"))).groupBy("doc_id", "rule").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
