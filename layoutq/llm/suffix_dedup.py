@@ -196,8 +196,9 @@ def repeated_windows(contents: list[bytes], rank: np.ndarray, length: int = LENG
     doc, pos = rank[owner[sa], 0], rank[owner[sa], 1] + offset[sa]
     order = np.lexsort((pos, doc, group))
     first = np.r_[True, group[order][1:] != group[order][:-1]]
-    gone = sa[order[~first]]
-    return [np.sort(offset[gone[owner[gone] == k]]) for k in range(len(contents))]
+    gone = np.sort(sa[order[~first]])  # places in s, so by content and offset
+    bounds = np.searchsorted(owner[gone], np.arange(len(contents) + 1))
+    return [offset[gone[a:e]] for a, e in zip(bounds, bounds[1:], strict=False)]
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,9 +206,8 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[np.r_[0, cut + 1]], x[np.r_[cut, len(x) - 1]]
 
 
-def repeats(contents: list[bytes], doc: np.ndarray, pos: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges (doc, start, end) that go, of the contents of some anchors; all contents of an anchor must be there.
-    Only stretches whose windows' hashes repeat can hold repeats; equal stretches are copies of the earliest, and the array is of distinct ones."""
+def repeating(contents: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """Stretches (content, start, end) of windows whose hashes more than one place of these contents has; others can't repeat."""
     size = np.array([len(c) for c in contents])
     start = np.cumsum(size) - size
     rolling = Rolling(np.frombuffer(b"".join(contents), dtype=np.uint8))
@@ -221,25 +221,32 @@ def repeats(contents: list[bytes], doc: np.ndarray, pos: np.ndarray, length: int
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
     owner, at = owner[twice], at[twice]
-    none = (np.empty(0, dtype=np.int64),) * 3
     if not len(at):
-        return none
+        return []
     new = np.r_[True, (owner[1:] != owner[:-1]) | (np.diff(at) != 1)]
     first, last, own = at[new], at[np.r_[np.flatnonzero(new)[1:] - 1, len(at) - 1]], owner[new]
+    return list(zip(own.tolist(), (first - start[own]).tolist(), (last - start[own] + length).tolist(), strict=True))
+
+
+def repeats(contents: list[bytes], doc: np.ndarray, pos: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges (doc, start, end) that go, of the contents of some anchors; all contents of an anchor must be there.
+    Equal stretches are copies of the earliest; the array is of those stretches that still repeat among the distinct ones."""
     places: dict[bytes, list[tuple[int, int]]] = {}
-    for k, a, e in zip(own.tolist(), (first - start[own]).tolist(), (last - start[own] + length).tolist(), strict=True):
+    for k, a, e in repeating(contents, length):
         places.setdefault(contents[k][a:e], []).append((int(doc[k]), int(pos[k]) + a))
     out: list[tuple[int, int, int]] = []
-    rank = []
+    distinct, rank = list(places), []
     for text, where in places.items():
         least = min(where)
         rank.append(least)
         out += [(d, s, s + len(text)) for d, s in where if (d, s) != least]
-    distinct = list(places)
-    for (d, s), x in zip(rank, repeated_windows(distinct, np.array(rank, dtype=np.int64), length), strict=True):
-        if len(x):
-            out += [(d, s + a, s + e + length) for a, e in zip(*map(np.ndarray.tolist, _runs(x)), strict=True)]
-    return tuple(np.array(c, dtype=np.int64) for c in zip(*out, strict=True)) if out else none
+    rest = repeating(distinct, length) if distinct else []
+    if rest:
+        parts, places_ = [distinct[k][a:e] for k, a, e in rest], [(rank[k][0], rank[k][1] + a) for k, a, _ in rest]
+        for (d, s), x in zip(places_, repeated_windows(parts, np.array(places_, dtype=np.int64), length), strict=True):
+            if len(x):
+                out += [(d, s + a, s + e + length) for a, e in zip(*map(np.ndarray.tolist, _runs(x)), strict=True)]
+    return tuple(np.array(c, dtype=np.int64) for c in zip(*out, strict=True)) if out else (np.empty(0, dtype=np.int64),) * 3
 
 
 def numbered(docs: DataFrame) -> DataFrame:
