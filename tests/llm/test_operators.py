@@ -500,3 +500,37 @@ def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     s = quality_classifier.classified(read(spark, d, "documents"), read(spark, d, "labels")).where("held_out").join(read(spark, d, "labels"), "doc_id")
     assert s.select(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.95
+
+
+def test_scores_by_definition(spark, docs):
+    """Means, shrunken covariances, log densities by solving instead of factors, and the logistic scale by plain descent on the same bins."""
+    rng = random.Random(6)
+    more = [(100 + i, " ".join(rng.choice(["the", "of", "wort", "SHOUT!", "a", "**", "phrase"][: 3 + i % 5]) for _ in range(rng.randint(5, 80))), "en", "s", 0, "x") for i in range(120)]
+    every = docs.unionByName(spark.createDataFrame(more, SCHEMA))
+    label = {r[0]: int(r[0] % 5 < 3) for r in more} | {3: 0, 5: 1}
+    labels = spark.createDataFrame(list(label.items()), "doc_id long, quality int")
+    f = quality_classifier.features(F.col("quality"))
+    table = {r["doc_id"]: [r[k] for k in quality_classifier.FEATURES] for r in rows(quality_rules.measured(every.select("doc_id", "text")).select("doc_id", *[f[k].alias(k) for k in quality_classifier.FEATURES]))}
+    x = np.array(list(table.values()))
+    train = [i for i, d in enumerate(table) if d in label and zlib.crc32(str(d).encode()) % 4 != 2]
+    y = np.array([label[list(table)[i]] for i in train])
+    own = [x[train][y == c] for c in (0, 1)]
+    covs = [np.cov(v, rowvar=False, bias=True) for v in own]
+    pooled = sum(len(v) * c for v, c in zip(own, covs, strict=True)) / len(y)
+    margin = np.zeros(len(x))
+    for c, sign in ((0, 1), (1, -1)):
+        cov = 0.8 * covs[c] + 0.2 * pooled + np.eye(x.shape[1]) * 0.05 * np.trace(pooled) / x.shape[1]
+        off = x - own[c].mean(axis=0)
+        margin += sign * 0.5 * (np.linalg.slogdet(cov)[1] + (off * np.linalg.solve(cov, off.T).T).sum(axis=1))
+    m = np.clip(margin[train], -200, 200).round()
+    ab = np.array([0.1, 0.0])
+    for _ in range(200_000):
+        p = 1 / (1 + np.exp(-np.clip(m * ab[0] + ab[1], -35, 35)))
+        grad = np.array([((p - y) * m).sum() + ab[0], (p - y).sum() + 0.01 * ab[1]])
+        if np.abs(grad).max() < 1e-10:
+            break
+        w = p * (1 - p)
+        ab = ab - 0.5 * np.linalg.solve(np.array([[(w * m * m).sum() + 1, (w * m).sum()], [(w * m).sum(), w.sum() + 0.01]]), grad)
+    expected = dict(zip(table, 1 / (1 + np.exp(-np.clip(margin * max(ab[0], 1e-3) + ab[1], -35, 35))), strict=True))
+    for r in rows(quality_classifier.classified(every, labels)):
+        assert abs(r["score"] - expected[r["doc_id"]]) < 1e-6, r
