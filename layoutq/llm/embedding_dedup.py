@@ -1,8 +1,8 @@
 """Embedding near-dedup: exact cosine links by a PCA-ordered tiled comparison.
 
-Unit vectors are turned into a basis of principal components, which is orthonormal and so changes no product. The first coordinate of
-two vectors with cosine t differs by sqrt(2 - 2t) at most: cells of that width on it, and only pairs of neighbouring cells, are compared, label by label. Cells
-are cut into blocks by hash, and every two blocks make a tile of bounded size. In a tile the leading coordinates are multiplied first; the rest of a product is at
+Unit vectors are turned into a basis of principal components, which is orthonormal and so changes no product. Each coordinate of
+two vectors with cosine t differs by sqrt(2 - 2t) at most: cells of that width on the leading one or two, and only pairs of neighbouring cells, are compared, label by label;
+how many directions make the grid is decided by how many rows each way sends to tiles. Cells are cut into blocks by hash, and every two blocks make a tile of bounded size. In a tile the leading coordinates are multiplied first; the rest of a product is at
 most the product of the suffix norms, so a pair stops as soon as the threshold is out of reach. What is left is decided on the given components in double precision.
 Equal vectors are one class beforehand. Tiles return link counts and star edges, never pairs.
 
@@ -87,42 +87,54 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, s
     reps = stored(reps, "classes")
     basis = bases([r["v"] for r in reps.orderBy(F.xxhash64("rep"), "rep").select("v").limit(sample).collect()])
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The cell of each vector on the first principal direction."""
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cells of each vector on the first two principal directions."""
         for b in batches:
             rows = b.column(0)
-            sizes, out = np.diff(rows.offsets.to_numpy()), np.zeros(b.num_rows, dtype=np.int32)
+            sizes, out = np.diff(rows.offsets.to_numpy()), np.zeros((2, b.num_rows), dtype=np.int32)
             for d in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == d)
                 x = _matrix(rows.take(pa.array(at)))
                 # scaled first, so that huge or tiny components neither overflow nor vanish
                 x = x / np.abs(x).max(axis=1, keepdims=True)
-                lead = basis[d][:, 0] if d in basis else np.eye(1, d)[0]
-                out[at] = np.floor((x @ lead) / np.linalg.norm(x, axis=1) / width)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], rows, pa.array(out)], names=["label", "rep", "n", "v", "cell"])
+                lead = (basis[d] if d in basis else np.eye(d))[:, :2]
+                out[: lead.shape[1], at] = np.floor((x @ lead) / np.linalg.norm(x, axis=1)[:, None] / width).T
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], rows, pa.array(out[0]), pa.array(out[1])], names=["label", "rep", "n", "v", "c1", "c2"])
 
     kind = reps.schema["label"].dataType.simpleString()
-    r = cells = stored(reps.select("v", "label", "rep", "n").mapInArrow(lean(first), f"label {kind}, rep long, n long, v array<double>, cell int").withColumn("d", F.size("v")), "cells")
-    full = r.groupBy("label", "d", "cell").agg(F.ceil(F.count("*") / F.lit(float(tile))).cast("int").alias("blocks"))
-    beside = full.select("label", "d", (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("above"))
-    below = full.select("label", "d", (F.col("cell") + 1).alias("cell"), F.col("blocks").alias("below"))
-    full = full.join(beside, ["label", "d", "cell"], "left").join(below, ["label", "d", "cell"], "left")
-    r = r.join(full, ["label", "d", "cell"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    inside = F.transform(upto(F.col("blocks")), lambda o: F.struct(F.col("cell").alias("cell"), F.least("own", o).alias("a"), F.greatest("own", o).alias("b"), F.lit(0).alias("shift"), (F.col("own") > o).alias("second")))
-    up = F.transform(upto(F.coalesce("above", F.lit(0))), lambda o: F.struct(F.col("cell").alias("cell"), F.col("own").alias("a"), o.alias("b"), F.lit(1).alias("shift"), F.lit(False).alias("second")))
-    down = F.transform(upto(F.coalesce("below", F.lit(0))), lambda o: F.struct((F.col("cell") - 1).alias("cell"), o.alias("a"), F.col("own").alias("b"), F.lit(1).alias("shift"), F.lit(True).alias("second")))
-    tiles = r.select("label", "d", "rep", "n", "v", F.inline(F.concat(inside, up, down)))
-    keys = ["label", "d", "cell", "shift", "a", "b"]
+    r = cells = stored(reps.select("v", "label", "rep", "n").mapInArrow(lean(placed), f"label {kind}, rep long, n long, v array<double>, c1 int, c2 int").withColumn("d", F.size("v")), "cells")
+    place = ["label", "d", "c1", "c2"]
+
+    def grid(x: DataFrame) -> DataFrame:
+        """For each cell its blocks, and those of its neighbours."""
+        full = x.groupBy(*place).agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / F.lit(float(tile))).cast("int"))
+        steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+        beside = full.select(*place, F.inline(steps)).select("label", "d", F.col("c1").alias("o1"), F.col("c2").alias("o2"), "i", "j", (F.col("c1") + F.col("i")).alias("c1"), (F.col("c2") + F.col("j")).alias("c2"))
+        beside = beside.join(full.drop("rows"), place).groupBy("label", "d", F.col("o1").alias("c1"), F.col("o2").alias("c2")).agg(F.collect_list(F.struct("i", "j", "blocks")).alias("beside"))
+        return full.join(beside, place, "left").withColumn("beside", F.coalesce("beside", F.array().cast("array<struct<i:int,j:int,blocks:int>>")))
+
+    sent = F.col("rows") * F.aggregate("beside", F.col("blocks"), lambda a, x: a + x["blocks"])
+    line, plane = grid(r.withColumn("c2", F.lit(0))), grid(r)
+    if line.agg(F.sum(sent)).first()[0] is None or line.agg(F.sum(sent)).first()[0] <= plane.agg(F.sum(sent)).first()[0]:
+        r, plane = r.withColumn("c2", F.lit(0)), line
+    r = r.join(plane.drop("rows"), place).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    tile_of = lambda c1, c2, i, j, a, b, second: F.struct(c1.alias("c1"), c2.alias("c2"), i.alias("i"), j.alias("j"), a.alias("a"), b.alias("b"), second.alias("second"))
+    zero, own, here = F.lit(0), F.col("own"), (F.col("c1"), F.col("c2"))
+    inside = F.transform(upto(F.col("blocks")), lambda o: tile_of(*here, zero, zero, F.least(own, o), F.greatest(own, o), own > o))
+    ahead = lambda x: (x["i"] > 0) | ((x["i"] == 0) & (x["j"] > 0))
+    across = F.flatten(F.transform("beside", lambda x: F.transform(upto(x["blocks"]), lambda o: F.when(ahead(x), tile_of(*here, x["i"], x["j"], own, o, F.lit(False))).otherwise(tile_of(here[0] + x["i"], here[1] + x["j"], -x["i"], -x["j"], o, own, F.lit(True))))))
+    tiles = r.select("label", "d", "rep", "n", "v", F.inline(F.concat(inside, across)))
+    keys = [*place, "i", "j", "a", "b"]
     tiles = tiles.repartition(*keys).sortWithinPartitions(*keys, "rep").select(*keys, "second", "rep", "n", "v")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, d, _, shift, a, b), t in grouped(batches, 6):
+        for (_, d, _, _, i, j, a, b), t in grouped(batches, 8):
             if t.num_rows < 2:
                 continue
-            second, rep, n, x = t.column(6).to_numpy(), t.column(7).to_numpy(), t.column(8).to_numpy(), _matrix(t.column(9))
+            second, rep, n, x = t.column(8).to_numpy(), t.column(9).to_numpy(), t.column(10).to_numpy(), _matrix(t.column(11))
             x = x / np.abs(x).max(axis=1, keepdims=True) if np.abs(x).max() > 1e100 or np.abs(x).max(axis=1).min() < 1e-100 else x
-            same = shift == 0 and a == b
+            same = i == 0 and j == 0 and a == b
             left, right = np.flatnonzero(~second), np.flatnonzero(~second if same else second)
             i, j = close_pairs(x, left, right, same, basis.get(d, np.eye(d)), threshold)
             if len(i):

@@ -155,6 +155,7 @@ def test_embeddings(spark):
     least = closed(list(links), links)
     got = rows(embedding_dedup.linked(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), tile=4))
     assert len(got) == len(data) and sum(map(len, links.values())) > 20
+    assert sorted(map(repr, got)) == sorted(repr(r) for r in rows(embedding_dedup.linked(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), tile=1)))
     for r in got:
         i = r["vec_id"]
         assert (r["n_links"], r["component_id"], r["kept"]) == (len(links[i]), least[i], least[i] == i), i
