@@ -12,6 +12,8 @@ from tokenizers import Tokenizer
 
 #: Signs that end a word and never start a contraction.
 SIGNS = ".,;:!?&$%#*|()"
+#: What isn't a Latin letter that normalisation leaves a single letter; U+0130 is none, as its lower case has a mark.
+NOT_LATIN = r"[^\x00-\x{12F}\x{131}-\x{24F}]"
 
 
 def vocabulary(name: str) -> str:
@@ -50,7 +52,7 @@ class Encoder:
                 out[-1] += " " + p
         return [p for p in out if p]
 
-    def _learn(self, new: list[str], chunk: int = 4_000) -> None:
+    def _learn(self, new: list[str], chunk: int = 8_000) -> None:
         for at in range(0, len(new), chunk):
             some = new[at : at + chunk]
             e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
@@ -92,7 +94,7 @@ class Encoder:
         stems = pc.utf8_rtrim(lines, characters=SIGNS)
         cut = pc.and_(pc.utf8_is_alpha(pc.utf8_ltrim(stems, characters=" ")), pc.not_equal(pc.binary_length(stems), pc.binary_length(lines)))
         cut = cut.to_numpy(zero_copy_only=False) & ~uncut
-        for k in np.flatnonzero(cut & ~pc.string_is_ascii(stems).to_numpy(zero_copy_only=False)).tolist():
+        for k in np.flatnonzero(cut & pc.match_substring_regex(stems, NOT_LATIN).to_numpy(zero_copy_only=False)).tolist():
             # normalised, a letter may end in a mark, which would join the signs
             cut[k] = self.normalised(stems[k].as_py().lstrip(" ")).isalpha()
         at = np.flatnonzero(cut)
