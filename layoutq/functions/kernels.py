@@ -21,6 +21,11 @@ def bound(c: Column, f) -> Column:
     return F.transform(F.array(c), f)[0]
 
 
+def computed(c: Column) -> Column:
+    """c for a column that is filtered by: the planner takes it for non-deterministic, and so doesn't copy it into the filter, with all that it is made of."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def spatial_taper(error: Column, tolerance, taper) -> Column:
     """1 up to the tolerance, then down to 0 over the taper; tolerance and taper are in the units of the error."""
     e, t = F.greatest(F.lit(0.0), error - _c(tolerance)), _c(taper)

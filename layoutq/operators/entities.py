@@ -17,6 +17,8 @@ from ..functions.storage import stored
 from ..plans.planner import Layout
 
 MOST_WORDS, LEAST_PHRASE, LEAST_DATE, LEAST_DOLLAR = 6, 0.5, 0.7, 0.5
+#: A shorter text lacks more than 0.3 of the shortest shape of a date, seven characters.
+SHORTEST_DATE = 5
 BOX = ("x0", "x1", "y0", "y1")
 
 
@@ -117,7 +119,7 @@ def entities_of(phrase: DataFrame) -> DataFrame:
     t = phrase.select("doc_id", "page_no", F.array_join(F.col("ws.text"), " ").alias("text"), F.col("ws.text").alias("parts"), *box, F.col("ids").alias("word_ids"), F.size("ids").alias("n_words"), "maximality", "ocr_score")
     # neither a date nor an amount is likely enough without a digit
     able = t.where(F.col("text").rlike("[0-9]"))
-    date = able.where(F.length("text") <= 20).withColumn("likeness", date_likeness(F.col("text"))).where(F.col("likeness") >= LEAST_DATE).withColumn("type", F.lit("Date"))
+    date = able.where(F.length("text").between(SHORTEST_DATE, 20)).withColumn("likeness", date_likeness(F.col("text"))).where(F.col("likeness") >= LEAST_DATE).withColumn("type", F.lit("Date"))
     dollar = able.withColumn("likeness", dollar_score(F.col("parts"))).where(F.col("likeness") >= LEAST_DOLLAR).withColumn("type", F.lit("DollarAmount"))
     text = t.withColumn("likeness", F.lit(None).cast("double")).withColumn("type", F.lit("Text"))
     return completed(text.unionByName(date).unionByName(dollar).drop("parts"))

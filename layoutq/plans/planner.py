@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import threading
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from uuid import uuid4
 
@@ -23,10 +23,15 @@ ENTITY = ("entity_id", "type", "text", "x0", "x1", "y0", "y1", "page_no", "word_
 
 @dataclass(frozen=True)
 class Layout:
-    """entities: one row each; docs: doc_id, ctx_mlh, the document's box, ctx_pages and ctx_words (its single words)."""
+    """entities: one row each; docs: doc_id, ctx_mlh, the document's box, ctx_pages and ctx_words (its single words). by_type may have the
+    entities of a type by themselves, so that the others aren't made for them."""
 
     entities: DataFrame
     docs: DataFrame
+    by_type: dict[str, DataFrame] = field(default_factory=dict)
+
+    def of(self, type_: str) -> DataFrame:
+        return self.by_type.get(type_, self.entities).where(F.col("type") == type_)
 
 
 @dataclass
@@ -110,8 +115,7 @@ def multiplied(df: DataFrame, rules: list[Rule], docs: DataFrame) -> DataFrame:
 
 
 def leaf(layout: Layout, field: str, type_: str, rules) -> Frame:
-    e = layout.entities.where(F.col("type") == type_)
-    e = e.select("doc_id", F.struct(*[F.col(c) for c in ENTITY]).alias(f"f__{field}"), F.lit(1.0).alias(f"fs__{field}"))
+    e = layout.of(type_).select("doc_id", F.struct(*[F.col(c) for c in ENTITY]).alias(f"f__{field}"), F.lit(1.0).alias(f"fs__{field}"))
     return Frame(scored(e, (field,), rules, layout.docs), (field,), 1.0 if rules else 50.0)
 
 

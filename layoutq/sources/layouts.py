@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import date_likeness_by, date_shape, dollar_core, dollar_likeness_by, dollar_sure
+from ..functions.kernels import computed, date_likeness_by, date_shape, dollar_core, dollar_likeness_by, dollar_sure
 from ..functions.storage import bucketed
-from ..operators.entities import LEAST_DATE, LEAST_DOLLAR, build, completed, grid_phrases
+from ..operators.entities import LEAST_DATE, LEAST_DOLLAR, SHORTEST_DATE, build, completed, grid_phrases
 from ..plans.planner import Layout
 
 UNIT = ["x0", "x1", "y0", "y1"]
@@ -73,12 +73,12 @@ def order_form(spark: SparkSession, sf_dir: str) -> Layout:
     t = w.select("doc_id", "page_no", "text", *UNIT, F.array("word_id").alias("word_ids"), F.lit(1).alias("n_words"), F.lit(1.0).alias("maximality"), F.lit(1.0).alias("ocr_score"))
     # neither a date nor an amount is likely enough without a digit
     able = t.where(F.col("text").rlike("[0-9]"))
-    date = able.where(F.length("text") <= 20).withColumn("shape", date_shape(F.col("text"))).withColumn("likeness", date_likeness_by(F.col("text"), F.col("shape"))).where(F.col("likeness") >= LEAST_DATE)
-    dollar = able.where(F.length("text").between(3, 15)).withColumn("core", dollar_core(F.col("text"))).withColumn("like", dollar_likeness_by(F.col("text"), F.col("core")))
+    date = able.where(F.length("text").between(SHORTEST_DATE, 20)).withColumn("shape", date_shape(F.col("text"))).withColumn("likeness", computed(date_likeness_by(F.col("text"), F.col("shape")))).where(F.col("likeness") >= LEAST_DATE)
+    dollar = able.where(F.length("text").between(3, 15)).withColumn("core", dollar_core(F.col("text"))).withColumn("like", computed(dollar_likeness_by(F.col("text"), F.col("core"))))
     dollar = dollar.withColumn("likeness", dollar_sure(F.col("like"), 1)).where(F.col("likeness") >= LEAST_DOLLAR)
-    parts = [x.withColumn("type", F.lit(k)).drop("shape", "core", "like") for x, k in ((t.withColumn("likeness", F.lit(None).cast("double")), "Text"), (date, "Date"), (dollar, "DollarAmount"))]
-    e = completed(reduce(DataFrame.unionByName, parts), distinct=True)
+    kinds = {"Text": t.withColumn("likeness", F.lit(None).cast("double")), "Date": date, "DollarAmount": dollar}
+    by_type = {k: completed(x.withColumn("type", F.lit(k)).drop("shape", "core", "like"), distinct=True) for k, x in kinds.items()}
     # all words are one unit high, so their median needs no weights; a page is its words' box from the origin
     box = [F.lit(0.0).alias("x0"), F.max("x1").alias("x1"), F.lit(0.0).alias("y0"), F.max("y1").alias("y1")]
     docs = w.groupBy("doc_id").agg(F.median(F.col("y1") - F.col("y0")).alias("ctx_mlh"), *[b.alias(f"ctx_{c}") for b, c in zip(box, UNIT, strict=True)], F.array(F.struct(F.lit(0).alias("page_no"), *box)).alias("ctx_pages"), F.collect_list(F.struct(F.col("word_id").alias("id"), "text", *UNIT)).alias("ctx_words"))
-    return Layout(e, docs)
+    return Layout(reduce(DataFrame.unionByName, by_type.values()), docs, by_type)
