@@ -3,7 +3,7 @@
 Documents are sorted by id over range partitions; each partition writes shards of about ``SHARD`` ids. A shard is one row: document ids and
 lengths, Re-Pair rules, the expansion length of every rule, and the compressed sequence. Re-Pair replaces frequent pairs of ids by
 nonterminals, round by round; a round takes many pairs at once, whose first and second ids are disjoint sets, so that no two
-occurrences overlap. No pair crosses a document's end, so a document is a range of symbols, found by the sums of expansion lengths and decoded alone.
+occurrences overlap; a pair of equal ids has a round of its own, if it is frequent enough for that. No pair crosses a document's end, so a document is a range of symbols, found by the sums of expansion lengths and decoded alone.
 
 Edge cases: null and empty texts are the end id alone; repeated ids are documents of their own, in the order of a hash of their texts, null ids come first; extra columns are ignored; an
 empty table writes no shards.
@@ -55,7 +55,7 @@ def repair(x: np.ndarray, end: int = END, base: int = BASE, rounds: int = ROUNDS
             left, right = int(each[k]) >> 32, int(each[k]) & 0xFFFFFFFF
             if counts[k] < least or base + len(rules) + len(taken) >= SYMBOLS:
                 break
-            if left == right and not taken:  # a pair of equal ids has a round of its own
+            if left == right and not taken and counts[k] * 1000 >= len(x):  # a pair of equal ids has a round of its own, if that pays
                 taken = [int(each[k])]
                 break
             if left != right and left not in second and right not in first:
