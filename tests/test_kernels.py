@@ -129,3 +129,30 @@ def test_document_files(form, spark):
     e, p = files.documents_from_json(content)
     assert e.count() == form.entities.count() and p.count() == 1
     assert files.Config(-1).k is None and files.Config(3).k == 3
+
+
+def test_known_likeness_equals_the_computed_one(spark):
+    import random
+
+    random.seed(3)
+    texts = [x for p in k.PLAIN_DATES | k.PLAIN_DOLLARS for x in (p, p.replace("9", "0"), "".join(str(random.randrange(10)) if c == "9" else c for c in p))]
+    texts += ["".join(random.choice("09.-, /$*JANuarymyxQ#") for _ in range(random.randrange(1, 21))) for _ in range(500)] + ["Customer#000000123", ".00", "May 1, 2020"]
+    t, f = F.col("t"), F.coalesce
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    date, dollar = k.plain(t, k.PLAIN_DATES), k.plain(t, k.PLAIN_DOLLARS)
+    assert df.where(~f(date, k.date_likeness(t)).eqNullSafe(k.date_likeness(t)) | ~f(dollar, k.dollar_likeness(t)).eqNullSafe(k.dollar_likeness(t))).count() == 0
+    assert df.where(k.no_date(t, 0.7) & (k.date_likeness(t) >= 0.7)).count() == 0
+    assert df.where(k.no_date(t, 0.7)).count() > 0 and df.where(date.isNotNull()).count() >= 75
+
+
+def test_forms_hold_each_word_once(spark, tmp_path):
+    """Repeated items, an order without items or customer, and items without an order: the same words as one by one."""
+    spark.sql("select * from values (1L, 1L, timestamp'2020-02-03 00:00:00', 12.5D), (2L, 9L, timestamp'2020-02-04 00:00:00', 7D) as t(o_orderkey, o_custkey, o_orderdate, o_totalprice)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("select * from values (1L, 'Customer#1') as t(c_custkey, c_name)").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("select * from values (1L, 2, 3D, 4D, 0.1D), (1L, 2, 3D, 5D, 0.1D), (1L, 2, 3D, 4D, 0.1D), (3L, 1, 1D, 1D, 0D) as t(l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "page_no", "word_id", "text", "x0", "x1", "y0", "y1").collect()))
+    one = rows(layouts.order_form_distinct(spark, str(tmp_path)))
+    assert one == rows(layouts.order_form_words(spark, str(tmp_path)).distinct()) and len(one) == 11 + 4 + 10 + 3
+    lay = layouts.order_form(spark, str(tmp_path))
+    # what stands beside a document's words comes without a join
+    assert {"ctx_words", "ctx_mlh"} <= set(lay.of("Text").columns)
