@@ -24,35 +24,45 @@ from .common import lean, read, small_batches, stored
 from .tokens import encoder, vocabulary
 
 SHARD, END, BASE, SYMBOLS, ROUNDS, PAIRS, LEAST = 1 << 20, 1, 49_408, 1 << 16, 12, 512, 24
+#: Pairs are counted by the bucket of a hash.
+BUCKETS = 1 << 20
 #: In a shard, the id of a document without one.
 NONE = -(1 << 63)
 SCHEMA = "part int, shard int, before long, n long, docs binary, lengths binary, rules binary, expansions binary, symbols binary"
 
 
+def buckets(a: np.ndarray, b: np.ndarray, end: int) -> np.ndarray:
+    """The bucket of each pair of ids; 0 for pairs that cross a document's end."""
+    out = a * np.uint32(0x9E3779B1)
+    out ^= b * np.uint32(0x85EBCA77)
+    out ^= out >> np.uint32(15)
+    out &= np.uint32(BUCKETS - 1)
+    out[a == end] = 0
+    return out.astype(np.intp)
+
+
 def repair(x: np.ndarray, end: int = END, base: int = BASE, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, symbols): rule k stands for the pair rules[k] and is symbol base + k; rules only use symbols before theirs."""
-    x, rules, mask = x.astype(np.uint32), [], np.uint32((1 << 20) - 1)
+    """(rules, symbols): rule k stands for the pair rules[k] and is symbol base + k; rules only use symbols before theirs. Pairs are counted
+    by buckets once; a round only counts anew where it replaced."""
+    x, rules, one, often = x.astype(np.uint32), [], np.int32(1), np.zeros(BUCKETS, dtype=bool)
+    bucket = buckets(x[:-1], x[1:], end)
+    seen = np.bincount(bucket, minlength=BUCKETS).astype(np.int32)
     for _ in range(rounds):
         if len(x) < 2 or base + len(rules) >= SYMBOLS:
             break
-        a, b = x[:-1], x[1:]
-        bucket = a * np.uint32(0x9E3779B1)
-        bucket ^= b * np.uint32(0x85EBCA77)
-        bucket ^= bucket >> np.uint32(15)
-        bucket &= mask
-        bucket[a == end] = 0
-        bucket = bucket.astype(np.intp)
-        seen = np.bincount(bucket, minlength=int(mask) + 1)
         seen[0] = 0
-        large = seen[seen >= least]
-        floor = int(np.partition(large, -pairs)[-pairs]) if len(large) > pairs else least
-        at = np.flatnonzero((seen >= floor)[bucket])
-        codes = a[at].astype(np.uint64) << np.uint64(32) | b[at]
+        large = np.flatnonzero(seen >= least)
+        if len(large) > pairs:
+            large = large[seen[large] >= np.partition(seen[large], -pairs)[-pairs]]
+        often[large] = True
+        at = np.flatnonzero(often.take(bucket))
+        often[large] = False
+        codes = x[at] << np.uint32(16) | x[at + 1]
         each, counts = np.unique(codes, return_counts=True)
         order = np.lexsort((each, -counts))
         first, second, taken = set(), set(), []
         for k in order[: 2 * pairs].tolist():
-            left, right = int(each[k]) >> 32, int(each[k]) & 0xFFFFFFFF
+            left, right = int(each[k]) >> 16, int(each[k]) & 0xFFFF
             if counts[k] < least or base + len(rules) + len(taken) >= SYMBOLS:
                 break
             if left == right and not taken and counts[k] * 1000 >= len(x):  # a pair of equal ids has a round of its own, if that pays
@@ -64,21 +74,27 @@ def repair(x: np.ndarray, end: int = END, base: int = BASE, rounds: int = ROUNDS
                 taken.append(int(each[k]))
         if not taken:
             break
-        chosen = np.array(sorted(taken), dtype=np.uint64)
+        chosen = np.array(sorted(taken), dtype=np.uint32)
         where = np.minimum(np.searchsorted(chosen, codes), len(chosen) - 1)
         hit = chosen[where] == codes
         at, where = at[hit], where[hit]
-        if len(chosen) == 1 and int(chosen[0]) >> 32 == int(chosen[0]) & 0xFFFFFFFF:
+        if len(chosen) == 1 and int(chosen[0]) >> 16 == int(chosen[0]) & 0xFFFF:
             run = np.r_[True, np.diff(at) != 1]  # in a run every second occurrence counts
             start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
             keep = (np.arange(len(at)) - start) % 2 == 0
             at, where = at[keep], where[keep]
-        x = x.copy()
+        alone = np.r_[at[0] > 0, np.diff(at) > 2]  # the pair before it isn't the one after the last replaced
+        for places in (at[alone] - 1, at, at[at + 2 < len(x)] + 1):
+            np.subtract.at(seen, bucket[places], one)
         x[at] = base + len(rules) + where
-        gone = np.ones(len(x), dtype=bool)
-        gone[at + 1] = False
-        x = x[gone]
-        rules += [(int(c) >> 32, int(c) & 0xFFFFFFFF) for c in chosen.tolist()]
+        kept = np.ones(len(x), dtype=bool)
+        kept[at + 1] = False
+        x, bucket = x[kept], bucket[kept[:-1]]
+        bucket, at = bucket[: len(x) - 1], at - np.arange(len(at))
+        for places in (at[np.r_[at[0] > 0, np.diff(at) > 1]] - 1, at[at + 1 < len(x)]):
+            bucket[places] = new = buckets(x[places], x[places + 1], end)
+            np.add.at(seen, new, one)
+        rules += [(c >> 16, c & 0xFFFF) for c in chosen.tolist()]
     return np.array(rules, dtype="<u2").reshape(-1, 2), x.astype("<u2")
 
 

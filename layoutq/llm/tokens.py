@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import string
 from collections.abc import Iterable
 
 import numpy as np
@@ -14,6 +15,8 @@ from tokenizers import Tokenizer
 SIGNS = ".,;:!?&$%#*|()"
 #: What isn't a Latin letter that normalisation leaves a single letter; U+0130 is none, as its lower case has a mark.
 NOT_LATIN = r"[^\x00-\x{12F}\x{131}-\x{24F}]"
+#: Code points below are never joined by normalisation, so that a word of such letters is normalised and spelt letter by letter.
+LATIN = 0x250
 
 
 def vocabulary(name: str) -> str:
@@ -26,15 +29,32 @@ class Encoder:
     """ids of whole texts as little-endian unsigned 32-bit integers.
 
     kind "word": the vocabulary drops white space, so pieces are cut at ASCII white space. kind "byte": white space belongs to the next word,
-    so pieces are cut before a space that a letter, digit or ASCII sign follows. The library encodes each distinct piece once; the memo
-    has two generations of bounded size, and lives as long as the worker. The library's defaults hold: the literal of a special token
-    in a text is that token, wherever it stands; texts with such a literal go to the library whole.
+    so pieces are cut before a space that a letter, digit or ASCII sign follows. The library encodes each distinct piece once; a word of
+    Latin letters goes straight to its model, in the letters that its normaliser and pre-tokenizer make of each. The memo has two
+    generations of bounded size, and lives as long as the worker. The library's defaults hold: the literal of a special token in a text is
+    that token, wherever it stands; texts with such a literal go to the library whole.
     """
 
     def __init__(self, path: str, kind: str, most: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind, self.most, self.young, self.old = kind, most, {}, {}
+        self.spelling: dict[int, str] = {}
+        for c in filter(str.isalpha, map(chr, range(LATIN))):
+            spelt = self._spelt(c)
+            if len(spelt) == 1:  # else normalised it isn't a single letter
+                self.spelling[ord(c)] = spelt[0]
+        space, all_ = " " if kind == "byte" else "", "".join(map(chr, self.spelling))
+        if space:
+            self.spelling[ord(space)] = self._spelt(" a")[0].removesuffix(self.spelling[ord("a")])
+        plain = self._spelt(space + all_) == [(space + all_).translate(self.spelling)]
+        self.letters = frozenset(all_ if plain else "")
+        #: Whether capitals are read as small letters.
+        self.small = plain and all(self.spelling[ord(c)] == self.spelling[ord(c.lower())] for c in string.ascii_uppercase)
+
+    def _spelt(self, text: str) -> list[str]:
+        """What the model gets of a text."""
+        return [s for s, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.normalised(text))]
 
     def normalised(self, text: str) -> str:
         return text if self.tokenizer.normalizer is None else self.tokenizer.normalizer.normalize_str(text)
@@ -53,13 +73,27 @@ class Encoder:
         return [p for p in out if p]
 
     def _learn(self, new: list[str], chunk: int = 8_000) -> None:
+        letters, spelling, tokenize, byte = self.letters, self.spelling, self.tokenizer.model.tokenize, self.kind == "byte"
         for at in range(0, len(new), chunk):
-            some = new[at : at + chunk]
-            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            w = np.array(e.word_ids, dtype=np.int64)
-            ids, ends = np.array(e.ids, dtype="<u4").tobytes(), (4 * np.searchsorted(w, np.arange(len(some)), side="right")).tolist()
-            for p, s, t in zip(some, [0, *ends], ends, strict=False):
-                self.young[p] = ids[s:t]
+            words, rest, ids, ends = [], [], [], []
+            for p in new[at : at + chunk]:
+                word = p[1:] if byte and p[:1] == " " else p
+                if word and letters.issuperset(word):
+                    words.append(p)
+                    ids += [t.id for t in tokenize(p.translate(spelling))]
+                    ends.append(4 * len(ids))
+                else:
+                    rest.append(p)
+            self._remember(words, ids, ends)
+            if rest:
+                e = self.tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)
+                w = np.array(e.word_ids, dtype=np.int64)
+                self._remember(rest, e.ids, (4 * np.searchsorted(w, np.arange(len(rest)), side="right")).tolist())
+
+    def _remember(self, units: list[str], ids: list[int], ends: list[int]) -> None:
+        raw = np.array(ids, dtype="<u4").tobytes()
+        for p, s, t in zip(units, [0, *ends], ends, strict=False):
+            self.young[p] = raw[s:t]
 
     def _ids(self, units: list[str]) -> list[bytes]:
         """The ids of distinct units, by the memo."""
@@ -92,14 +126,17 @@ class Encoder:
         uncut[owner[several[~np.array(ok, dtype=bool)]]] = True
         uncut = uncut[owner]
         stems = pc.utf8_rtrim(lines, characters=SIGNS)
-        cut = pc.and_(pc.utf8_is_alpha(pc.utf8_ltrim(stems, characters=" ")), pc.not_equal(pc.binary_length(stems), pc.binary_length(lines)))
+        alpha, odd = pc.utf8_is_alpha(pc.utf8_ltrim(stems, characters=" ")), pc.match_substring_regex(stems, NOT_LATIN)
+        cut = pc.and_(alpha, pc.not_equal(pc.binary_length(stems), pc.binary_length(lines)))
         cut = cut.to_numpy(zero_copy_only=False) & ~uncut
-        for k in np.flatnonzero(cut & pc.match_substring_regex(stems, NOT_LATIN).to_numpy(zero_copy_only=False)).tolist():
+        for k in np.flatnonzero(cut & odd.to_numpy(zero_copy_only=False)).tolist():
             # normalised, a letter may end in a mark, which would join the signs
             cut[k] = self.normalised(stems[k].as_py().lstrip(" ")).isalpha()
         at = np.flatnonzero(cut)
         tails = [x[n:] for x, n in zip(_strings(lines.take(pa.array(at))), pc.utf8_length(stems.take(pa.array(at))).to_numpy().tolist(), strict=True)]
         body = pc.if_else(pa.array(cut), stems, lines)
+        if self.small:
+            body = pc.if_else(pc.and_not(alpha, odd), pc.ascii_lower(body), body)
         if uncut.any():
             body = pc.if_else(pa.array(uncut), pc.if_else(pa.array(first), whole.take(pa.array(owner)), ""), body)
         coded = body.dictionary_encode()

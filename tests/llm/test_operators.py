@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from layoutq.llm import embedding_dedup, jaccard_join, packing, private_data, quality_classifier, quality_rules, secret_scan, source_mixing, suffix_dedup, token_files
-from layoutq.llm.tokens import encoder, vocabulary
+from layoutq.llm.tokens import Encoder, encoder, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, quality string"
 
@@ -258,6 +258,44 @@ def test_encoder_on_random_texts(name, kind):
     assert [t for t, x, e in zip(texts, own, theirs, strict=True) if x != packed_ids(e.ids)] == []
 
 
+@pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_encoder_sends_words_of_latin_letters_to_the_model(name, kind):
+    """All letters below U+0250, alone and in words of any case, beside marks that join them; only the odd ones take the library's whole way."""
+    from tokenizers import Tokenizer
+
+    rng, library, own, sent = random.Random(5), Tokenizer.from_file(vocabulary(name)), Encoder(vocabulary(name), kind), []
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha()]
+    plain = [*letters, *("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(3000)), "Word", "word", "WORD"]
+    plain = [t for t in plain if kind == "byte" or "İ" not in t]
+    odd = ["İ", "aİb", "J\u030c", "j\u030c", "xJ\u030c.", "A\u0301", "Ⱥa", "ⱥ", "ΑΣ", "it's", "IT'S", "<|ENDOFTEXT|>"]
+
+    class Counted:
+        def __getattr__(self, key):
+            return getattr(library, key)
+
+        def encode(self, units, **options):
+            sent.extend([units] if isinstance(units, str) else units)
+            return library.encode(units, **options)
+
+    own.tokenizer = Counted()
+    texts = plain + [f"{a} {b}, {c}" for a, b, c in zip(plain, plain[1:], plain[2:])]
+    assert own.encode(texts) == [packed_ids(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert not any(c.isalpha() for u in sent for c in u)
+    assert own.encode(odd) == [packed_ids(e.ids) for e in library.encode_batch(odd, add_special_tokens=False)]
+    if kind == "word":
+        assert "word" in own.young and not {"Word", "WORD"} & set(own.young)
+
+
+def test_encoder_leaves_other_ways_of_spelling_to_the_library(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    t.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Replace("ab", "c"), normalizers.Lowercase()])
+    t.save(str(tmp_path / "other.json"))
+    texts = ["ab AB", "Cab, abc", "aab."]
+    assert Encoder(str(tmp_path / "other.json"), "word").encode(texts) == [packed_ids(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 def test_token_files(docs, none):
     got = sorted(rows(token_files.read_shards(token_files.write_shards(docs, shard=700))), key=lambda r: r["start"])
     at = 0
@@ -281,6 +319,21 @@ def test_grammar_round_trip():
     assert len(symbols) < len(x) / 2
 
 
+def test_grammar_counts_anew_only_where_it_replaced(monkeypatch):
+    """Yet its counts stay right: at the end no pair that may be replaced is frequent."""
+    rng, seen, buckets = np.random.default_rng(1), [], token_files.buckets
+    monkeypatch.setattr(token_files, "buckets", lambda a, b, end: seen.append(len(a)) or buckets(a, b, end))
+    for n, k in ((200_000, 300), (30_000, 3), (5000, 2)):
+        x = np.repeat(rng.integers(1, k + 2, n), rng.integers(1, 4, n)).astype(np.uint32)
+        seen.clear()
+        rules, symbols = token_files.repair(x, rounds=10_000)
+        assert (token_files.expand(symbols, rules, token_files.expansion_lengths(rules)) == x).all()
+        assert len(seen) > 5 and sum(seen) < 4 * len(x)
+        a, b = symbols[:-1].astype(np.uint32), symbols[1:].astype(np.uint32)
+        may = (a != b) & (buckets(a, b, 1) > 0)
+        assert np.unique(np.stack([a, b])[:, may], axis=1, return_counts=True)[1].max(initial=0) < token_files.LEAST
+
+
 def test_packing(docs, none):
     got = rows(packing.packed(docs, capacity=512))
     expected = {c[0]: ids_of("byte_bpe_50k.json", c[1], 0) for c in corpus()}
