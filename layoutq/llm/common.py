@@ -54,16 +54,21 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], mapped: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run for mapInArrow, with Arrow's memory from malloc and what is free given back after each task: workers outlive their stages, and
-    an executor's memory would otherwise keep the peaks of all of them."""
+    an executor's memory would otherwise keep the peaks of all of them. From ``mapped`` bytes on (0: as malloc likes) a block is given back
+    as soon as it is free, and leaves no hole in the heap."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
+        libc = ctypes.CDLL(None)
+        if mapped and hasattr(libc, "mallopt"):
+            libc.mallopt(-3, mapped)  # M_MMAP_THRESHOLD, which malloc otherwise raises to 32 MB
+            libc.mallopt(-1, 4 * mapped)  # M_TRIM_THRESHOLD
         try:
             yield from run(batches)
         finally:
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            if hasattr(libc, "malloc_trim"):
                 libc.malloc_trim(0)
 
     return task

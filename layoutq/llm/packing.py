@@ -24,6 +24,8 @@ from .common import lean, read, small_batches, stored, sums_before
 from .tokens import encoder, vocabulary
 
 CAPACITY, END, WEIGHTS = 2048, 0, (1.0, 0.05, 0.05)
+#: Units that a generation of the encoder's memo holds, beside the last batch's: in a pipeline the JVM has grown by the time this step begins.
+MEMO = 150_000
 
 
 class Plan:
@@ -89,14 +91,14 @@ class Plan:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, row (a number of the row in this table), piece, start, length and checksum of the ids of each piece."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, mb=8)
     tail = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
-            for doc, ids in zip(b.column(0).to_pylist(), encoder(tokenizer, "byte").encode(b.column(1)), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), encoder(tokenizer, "byte", MEMO).encode(b.column(1)), strict=True):
                 ids, row = ids + tail, row + 1
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
@@ -106,7 +108,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run, 2 << 20), "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, most_documents: int | None = None, most_cost: int | None = None) -> DataFrame:

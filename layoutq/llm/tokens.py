@@ -17,6 +17,8 @@ SIGNS = ".,;:!?&$%#*|()"
 NOT_LATIN = r"[^\x00-\x{12F}\x{131}-\x{24F}]"
 #: Code points below are never joined by normalisation, so that a word of such letters is normalised and spelt letter by letter.
 LATIN = 0x250
+#: Longer units leave the memo after their batch, as it is bounded by their number.
+LONG = 64
 
 
 def vocabulary(name: str) -> str:
@@ -107,7 +109,11 @@ class Encoder:
                 else:
                     new.append(p)
         self._learn(new)
-        return list(map(young.__getitem__, units))
+        held = list(map(young.__getitem__, units))
+        for p in new:
+            if len(p) > LONG:
+                del young[p]
+        return held
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces, one after the other, and their bounds. A piece is cut into units where its ids can't depend on both
@@ -166,6 +172,7 @@ class Encoder:
         ends = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
         pieces, codes, slow = _strings(coded.dictionary), coded.indices.to_numpy().astype(np.int64), []
+        del parts, coded
         if self.kind == "byte":
             good = np.array([bool(p) and (p[0].isalnum() or "!" <= p[0] <= "~") for p in pieces], dtype=bool)
             bad = ~good[codes]
@@ -180,7 +187,7 @@ class Encoder:
         number = {p: len(pieces) + k for k, p in enumerate(dict.fromkeys(p for ps in cut for p in ps))}
         flat, bounds = self._pieces(pieces + list(number))
         ids, until = _gather(flat, bounds, codes)
-        raw, until = memoryview(ids.tobytes()), (4 * until[ends]).tolist()
+        raw, until = memoryview(ids.view(np.uint8)), (4 * until[ends]).tolist()
         out = [bytes(raw[s:e]) for s, e in zip(until, until[1:], strict=False)]
         for k, ps in zip(slow, cut, strict=True):
             out[k] = _gather(flat, bounds, np.array([number[p] for p in ps], dtype=np.int64))[0].tobytes()
@@ -192,15 +199,20 @@ def _strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()
 
 
-def _gather(flat: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of flat that codes name, one after the other, and their bounds; run k is flat[bounds[k] : bounds[k + 1]]."""
-    n = (bounds[1:] - bounds[:-1])[codes]
-    until = np.r_[0, np.cumsum(n)]
-    at = np.arange(int(until[-1]))
-    at += np.repeat(bounds[codes] - until[:-1], n)
-    return flat[at], until
+def _gather(flat: np.ndarray, bounds: np.ndarray, codes: np.ndarray, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of flat that codes name, one after the other, and their bounds; run k is flat[bounds[k] : bounds[k + 1]]. Positions, which
+    take several times the room of ids, are made for ``step`` runs at a time."""
+    until = np.zeros(len(codes) + 1, dtype=np.int64)
+    np.cumsum((bounds[1:] - bounds[:-1])[codes], out=until[1:])
+    out = np.empty(int(until[-1]), dtype=flat.dtype)
+    for k in range(0, len(codes), step):
+        part, u = codes[k : k + step], until[k : k + step + 1]
+        at = np.arange(u[0], u[-1])
+        at += np.repeat(bounds[part] - u[:-1], np.diff(u))
+        out[u[0] : u[-1]] = flat[at]
+    return out, until
 
 
 @functools.cache
-def encoder(path: str, kind: str) -> Encoder:
-    return Encoder(path, kind)
+def encoder(path: str, kind: str, most: int = 300_000) -> Encoder:
+    return Encoder(path, kind, most)

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -296,6 +297,28 @@ def test_encoder_leaves_other_ways_of_spelling_to_the_library(tmp_path):
     assert Encoder(str(tmp_path / "other.json"), "word").encode(texts) == [packed_ids(t.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
+def test_encoder_takes_little_more_than_its_ids():
+    texts = [" ".join(["word", "other", "third"] * 500)] * 1000
+    coder = Encoder(vocabulary("byte_bpe_50k.json"), "byte")
+    coder.encode(texts[:1])
+    tracemalloc.start()
+    ids = coder.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * sum(map(len, ids))
+
+
+def test_long_pieces_leave_the_memo():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("abcdef012 345-_", k=3000)).replace(" ", "_") + " short" for _ in range(20)]
+    coder, whole = Encoder(vocabulary("byte_bpe_50k.json"), "byte"), Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    for _ in range(2):
+        assert [np.frombuffer(i, "<u4").tolist() for i in coder.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert " short" in coder.young and max(map(len, coder.young)) <= 64
+
+
 def test_token_files(docs, none):
     got = sorted(rows(token_files.read_shards(token_files.write_shards(docs, shard=700))), key=lambda r: r["start"])
     at = 0
